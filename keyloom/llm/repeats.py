@@ -4,21 +4,23 @@ Which windows repeat is decided on the input: a unit goes if a window of W units
 or same document, earlier start). The corpus is never sorted as a whole:
 
 1. every document gives sparse anchors (about 2 / (W - k) of its units): content chosen, so equal windows share theirs;
-2. anchors that occur once are dropped (count by hash, combined in each task before the shuffle);
-3. around the others, the windows of an anchor are cut out as a segment; equal segments are reduced to their first place,
-   so thousands of copies cost one;
-4. distinct segments with one anchor meet in one task, in blocks of bounded bytes, where the operator's own index
+2. anchors that occur once are dropped (counted by hash, after each batch has reduced its repeated ones to one);
+3. around the others, the windows of an anchor are a segment, known by its hash; equal segments are reduced to their first
+   place, so thousands of copies cost one;
+4. where an anchor has several distinct segments, these are cut out, and meet in one task, in blocks of bounded bytes, where the operator's own index
    (suffix array or suffix trees) finds the windows that occur more than once; an anchor with too many distinct
    segments (a common phrase) is instead taken apart by whole windows, over all tasks;
 5. spans go back to their documents.
 
-Rows are told apart by (doc_id, hash of the text); rows alike in both are repeats of each other, the first stays. Null
+Texts with such anchors are written once, bucketed by a hash of their key, and joined in place after that. Rows are told
+apart by (doc_id, hash of the text); rows alike in both are repeats of each other, the first stays. Null
 ids come before all others. Null or empty texts, and texts below W units, lose nothing.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import bounded_batches, id_back, id_of, materialize, text_of
+from .common import bounded_batches, id_back, id_of, materialize, new_path, text_of
 
 #: Bytes of distinct segments indexed at once, and the most distinct segments of one anchor that are.
 BLOCK_BYTES = 2_000_000
@@ -57,27 +59,58 @@ class Texts:
 
 
 def _find_anchors(unit: str, window: int, k: int):
+    """(a, key, p, known, sure): of anchors that a batch has twice or more, all are known to repeat, but only the first goes on
+    to be counted; so a common anchor costs a row a batch, not a row an occurrence."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             t = Texts(b["text"], unit)
-            ids, hs = b["id"].to_numpy(), b["h"].to_numpy()
+            keys, parts = b["key"].to_numpy(), []
             for text, place, hashed, _, _ in flat.anchors(t.units, t.at, window, k):
-                yield pd.DataFrame({"a": hashed.view(np.int64), "id": ids[text], "h": hs[text], "p": place - t.at[text]})
+                parts.append(((hashed >> np.uint64(16)).view(np.int64), keys[text], place - t.at[text]))
+            if not parts:
+                continue
+            a, key, p = (np.concatenate(x) for x in zip(*parts))
+            _, first, of, times = np.unique(a, return_index=True, return_inverse=True, return_counts=True)
+            lead = first[of] == np.arange(len(a))
+            yield pd.DataFrame({"a": a, "key": key, "p": p.astype(np.int32), "known": ~lead, "sure": times[of] > 1})
 
     return run
 
 
-def _cut_segments(unit: str, window: int, k: int):
+def _note_segments(unit: str, window: int, k: int):
+    """Segments by hashes alone: (a, s, id, h, lo, n)."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             t = Texts(b["text"], unit)
-            ids, hs, wanted = b["id"].to_numpy(), b["h"].to_numpy(), b["places"]
-            known = np.unique(np.concatenate([np.asarray(p) + o for p, o in zip(wanted, t.at.tolist())]))
+            ids, hs = b["id"].to_numpy(), b["h"].to_numpy()
+            known = np.unique(np.concatenate([np.asarray(p) + o for p, o in zip(b["places"], t.at.tolist())]))
             for text, place, hashed, first, last in flat.anchors(t.units, t.at, window, k):
                 use = np.flatnonzero(known[np.minimum(np.searchsorted(known, place), len(known) - 1)] == place)
-                cuts = [t.cut(i, j + window) for i, j in zip(first[use].tolist(), last[use].tolist())]
-                x = text[use]
-                yield pd.DataFrame({"a": hashed[use].view(np.int64), "seg": cuts, "id": ids[x], "h": hs[x], "lo": first[use] - t.at[x], "n": last[use] - first[use] + 1})
+                lo, hi, x = first[use], last[use] + window, text[use]
+                if not len(use):
+                    continue
+                units, o = t.units[lo[0] : hi.max()].astype(np.uint64), lo[0]
+                pw, inv = flat.powers(len(units) + 1)
+                c = np.zeros(len(units) + 1, np.uint64)
+                np.cumsum((flat.mix(units) + np.uint64(1)) * pw[:-1], out=c[1:])
+                s = flat.mix((c[hi - o] - c[lo - o]) * inv[lo - o] + (hi - lo).astype(np.uint64))
+                yield pd.DataFrame({"a": hashed[use].view(np.int64), "s": s.view(np.int64), "id": ids[x], "h": hs[x], "lo": (lo - t.at[x]).astype(np.int32), "n": (hi - lo - window + 1).astype(np.int32)})
+
+    return run
+
+
+def _cut_segments(unit: str, window: int):
+    """The segments asked for, as bytes."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            t, out = Texts(b["text"], unit), []
+            for i, wanted in enumerate(b["wanted"]):
+                key, o = (b["id"].iat[i], b["h"].iat[i]), int(t.at[i])
+                out += [(x["a"], t.cut(o + x["lo"], o + x["lo"] + x["n"] + window - 1), *key, x["lo"], x["n"], x["g"]) for x in wanted if (x["id"], x["h"]) == key]
+            yield pd.DataFrame(out, columns=["a", "seg", "id", "h", "lo", "n", "g"])
 
     return run
 
@@ -145,24 +178,34 @@ def _whole_windows(unit: str, window: int):
 
 
 def _later_windows(docs: DataFrame, unit: str, window: int, k: int, index: Index) -> tuple[DataFrame, DataFrame]:
-    """(id, h, lo, n): runs of windows that start elsewhere earlier; and the texts they can be in."""
+    """(id, h, lo, n): runs of windows that start elsewhere earlier; and the texts they can be in, a table bucketed by key."""
+    spark = docs.sparkSession
     keys = "id long, h long, "
-    found = docs.mapInPandas(_find_anchors(unit, window, k), "a long, " + keys + "p long").withColumn("p", F.col("p").cast("int"))
-    often = found.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("a")
-    places = found.join(often, "a").groupBy("id", "h").agg(F.collect_set("p").alias("places"))
-    texts = materialize(docs.join(places, ["id", "h"]).dropDuplicates(["id", "h"]), "repeat-texts")
-    segs = materialize(texts.mapInPandas(_cut_segments(unit, window, k), "a long, seg binary, " + keys + "lo long, n long").withColumns({"s1": F.xxhash64("seg"), "s2": F.xxhash64(F.lit(1), "seg")}), "repeat-segments")
-    sid, place = ["a", "s1", "s2"], F.struct("id", "h", "lo")
-    once = materialize(segs.groupBy(*sid).agg(F.min(place).alias("first"), F.first("seg").alias("seg"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c")), "repeat-distinct")
+    found = docs.select("key", "text").mapInPandas(_find_anchors(unit, window, k), "a long, key int, p int, known boolean, sure boolean")
+    deal = F.when(F.col("known"), F.xxhash64("key", "p")).otherwise(F.col("a"))
+    times = F.count(F.lit(1)).over(Window.partitionBy("deal", "known"))
+    often = found.withColumn("deal", deal).drop("a").withColumn("c", times).where("known or sure or c > 1")
+    places = often.groupBy("key").agg(F.collect_set("p").alias("places"))
+    # Texts move once: by key, into buckets that the later joins read where they are.
+    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"repeats_{uuid.uuid4().hex}"
+    near = docs.repartition(buckets, "key").join(places, "key").dropDuplicates(["key", "id", "h"])
+    near.write.bucketBy(buckets, "key").option("path", new_path(spark, "repeat-texts")).option("compression", "zstd").saveAsTable(name)
+    texts = spark.table(name)
+    segs = materialize(texts.select("id", "h", "text", "places").mapInPandas(_note_segments(unit, window, k), "a long, s long, " + keys + "lo int, n int"), "repeat-segments")
+    place = F.struct("id", "h", "lo")
+    once = materialize(segs.groupBy("a", "s").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c")), "repeat-distinct")
     # Each later copy of a whole segment.
-    again = segs.join(once.where("c > 1").select(*sid, "first"), sid).where(place != F.col("first")).select("id", "h", "lo", "n")
+    again = segs.join(once.where("c > 1").select("a", "s", "first"), ["a", "s"]).where(place != F.col("first")).select("id", "h", "lo", "n")
+    # Anchors with several segments: these are cut out of the texts.
     groups = once.groupBy("a").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-    split = once.join(groups, "a").select("a", "seg", "first.*", "n", "g")
-    blocks = split.where(F.col("g") <= BLOCK_SEGMENTS).repartition("a").sortWithinPartitions("a").mapInPandas(_index_blocks(index, window, BLOCK_BYTES), keys + "lo long, n long")
+    wanted = once.join(groups, "a").select(F.hash("first.id", "first.h").alias("key"), F.struct("a", "first.id", "first.h", "first.lo", "n", "g").alias("w"))
+    wanted = wanted.groupBy("key").agg(F.collect_list("w").alias("wanted"))
+    split = materialize(texts.select("key", "id", "h", "text").join(wanted, "key").select("id", "h", "text", "wanted").mapInPandas(_cut_segments(unit, window), "a long, seg binary, " + keys + "lo int, n int, g long"), "repeat-cuts")
+    blocks = split.where(F.col("g") <= BLOCK_SEGMENTS).drop("g").repartition("a").sortWithinPartitions("a").mapInPandas(_index_blocks(index, window, BLOCK_BYTES), keys + "lo int, n int")
     # An anchor with too many: by whole windows.
-    wide = split.where(F.col("g") > BLOCK_SEGMENTS).mapInPandas(_whole_windows(unit, window), "w binary, " + keys + "lo long").select("id", "h", "lo", F.xxhash64("w").alias("w1"), F.xxhash64(F.lit(1), "w").alias("w2"))
+    wide = split.where(F.col("g") > BLOCK_SEGMENTS).mapInPandas(_whole_windows(unit, window), "w binary, " + keys + "lo int").select("id", "h", "lo", F.xxhash64("w").alias("w1"), F.xxhash64(F.lit(1), "w").alias("w2"))
     first = wide.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    common = wide.join(first, ["w1", "w2"]).where(place != F.col("first")).select("id", "h", "lo", F.lit(1).cast("long").alias("n"))
+    common = wide.join(first, ["w1", "w2"]).where(place != F.col("first")).select("id", "h", "lo", F.lit(1).alias("n"))
     return again.unionByName(blocks).unionByName(common), texts
 
 
@@ -175,6 +218,8 @@ def _remove(unit: str, window: int):
                 lo, hi = int(t.at[j]), int(t.at[j + 1])
                 edge = np.zeros(hi - lo + 1, np.int64)
                 for r in runs:
+                    if (r["id"], r["h"]) != (b["id"].iat[j], b["h"].iat[j]):
+                        continue
                     edge[r["lo"]] += 1
                     edge[r["lo"] + r["n"] + window - 1] -= 1
                 gone = np.cumsum(edge)[:-1] > 0
@@ -193,9 +238,9 @@ def remove_repeats(docs: DataFrame, unit: str, window: int, k: int, index: Index
     """One row per row: doc_id, n, n_removed, n_spans, kept_sha256 and, if asked for, the kept text (bytes that are no UTF-8 after the cut are replaced there)."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(id_of().alias("id"), text_of().alias("text")).withColumn("h", F.xxhash64("text"))
-    later, texts = _later_windows(rows.select("id", "h", "text"), unit, window, k, index)
-    runs = later.groupBy("id", "h").agg(F.collect_list(F.struct("lo", "n")).alias("runs"))
-    cut = texts.join(runs, ["id", "h"]).mapInPandas(_remove(unit, window), "id long, h long, gone long, spans long, sha string, kept string")
+    later, texts = _later_windows(rows.select(F.hash("id", "h").alias("key"), "id", "h", "text"), unit, window, k, index)
+    runs = later.groupBy(F.hash("id", "h").alias("key")).agg(F.collect_list(F.struct("id", "h", "lo", "n")).alias("runs"))
+    cut = texts.select("key", "id", "h", "text").join(runs, "key").select("id", "h", "text", "runs").mapInPandas(_remove(unit, window), "id long, h long, gone long, spans long, sha string, kept string")
     cut = cut if with_text else cut.drop("kept")
     if unit == "byte":
         whole, n = F.col("text"), F.octet_length("text")

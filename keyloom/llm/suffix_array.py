@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from .repeats import remove_repeats
 
 WINDOW = 100
-#: Bytes hashed for an anchor: one anchor in about 35 bytes.
-ANCHOR = 32
+#: Bytes hashed for an anchor: one anchor in about 27 bytes.
+ANCHOR = 48
 #: Stands between segments; no UTF-8 text has it.
 BETWEEN = b"\xff"
 

@@ -15,8 +15,8 @@ from . import flat
 from .repeats import remove_repeats
 
 WINDOW = 20
-#: Words hashed for an anchor: one anchor in about 8 words.
-ANCHOR = 5
+#: Words hashed for an anchor: one anchor in about 7 words.
+ANCHOR = 8
 GROUP = 20_000
 
 
