@@ -45,7 +45,7 @@ def run_hashes(units: np.ndarray, k: int) -> np.ndarray:
 
 def joined(texts) -> tuple[bytes, np.ndarray]:
     """UTF-8 bytes one after another and the place where each text starts (and the end)."""
-    parts = [(t or "").encode() for t in texts]
+    parts = [t if isinstance(t, bytes) else (t or "").encode() for t in texts]
     return b"".join(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
 
 

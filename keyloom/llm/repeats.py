@@ -41,7 +41,7 @@ Index = Callable[[list[bytes], int], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
 class Texts:
-    """A batch of texts as units: bytes, or words."""
+    """A batch of texts (str, or bytes of UTF-8 text) as units: bytes, or words."""
 
     def __init__(self, texts, unit: str):
         self.raw, self.edges = flat.joined(texts)
@@ -79,13 +79,13 @@ def _find_anchors(unit: str, window: int, k: int):
 
 
 def _note_segments(unit: str, window: int, k: int):
-    """Segments by hashes alone: (a, s, id, h, lo, n)."""
+    """Segments by hashes alone: (a, s, id, h, lo, n, known). Of equal segments in a batch only the first goes on to be compared; the others are known to be later copies."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             t = Texts(b["text"], unit)
             ids, hs = b["id"].to_numpy(), b["h"].to_numpy()
-            known = np.unique(np.concatenate([np.asarray(p) + o for p, o in zip(b["places"], t.at.tolist())]))
+            known, parts = np.unique(np.concatenate([np.asarray(p) + o for p, o in zip(b["places"], t.at.tolist())])), []
             for text, place, hashed, first, last in flat.anchors(t.units, t.at, window, k):
                 use = np.flatnonzero(known[np.minimum(np.searchsorted(known, place), len(known) - 1)] == place)
                 lo, hi, x = first[use], last[use] + window, text[use]
@@ -95,8 +95,15 @@ def _note_segments(unit: str, window: int, k: int):
                 pw, inv = flat.powers(len(units) + 1)
                 c = np.zeros(len(units) + 1, np.uint64)
                 np.cumsum((flat.mix(units) + np.uint64(1)) * pw[:-1], out=c[1:])
-                s = flat.mix((c[hi - o] - c[lo - o]) * inv[lo - o] + (hi - lo).astype(np.uint64))
-                yield pd.DataFrame({"a": hashed[use].view(np.int64), "s": s.view(np.int64), "id": ids[x], "h": hs[x], "lo": (lo - t.at[x]).astype(np.int32), "n": (hi - lo - window + 1).astype(np.int32)})
+                s = flat.mix((c[hi - o] - c[lo - o]) * inv[lo - o] + (hi - lo).astype(np.uint64)) ^ hashed[use]
+                parts.append((hashed[use].view(np.int64), s.view(np.int64), ids[x], hs[x], lo - t.at[x], hi - lo - window + 1, place[use] - lo))
+            if not parts:
+                continue
+            a, s, i, h, lo, n, o = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((lo, h, i, s))
+            known = np.zeros(len(s), bool)
+            known[order[1:]] = s[order[1:]] == s[order[:-1]]
+            yield pd.DataFrame({"a": a, "s": s, "id": i, "h": h, "lo": lo.astype(np.int32), "n": n.astype(np.int32), "o": o.astype(np.int32), "known": known})
 
     return run
 
@@ -109,8 +116,8 @@ def _cut_segments(unit: str, window: int):
             t, out = Texts(b["text"], unit), []
             for i, wanted in enumerate(b["wanted"]):
                 key, o = (b["id"].iat[i], b["h"].iat[i]), int(t.at[i])
-                out += [(x["a"], t.cut(o + x["lo"], o + x["lo"] + x["n"] + window - 1), *key, x["lo"], x["n"], x["g"]) for x in wanted if (x["id"], x["h"]) == key]
-            yield pd.DataFrame(out, columns=["a", "seg", "id", "h", "lo", "n", "g"])
+                out += [(x["a"], t.cut(o + x["lo"], o + x["lo"] + x["n"] + window - 1), *key, x["lo"], x["n"], x["o"], x["g"]) for x in wanted if (x["id"], x["h"]) == key]
+            yield pd.DataFrame(out, columns=["a", "seg", "id", "h", "lo", "n", "o", "g"])
 
     return run
 
@@ -125,8 +132,31 @@ def _runs(*cols: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
-def _index_blocks(index: Index, window: int, most: int):
+def _extended(rows: pd.DataFrame, unit: str, window: int, k: int) -> np.ndarray:
+    """Segments worth indexing: a window holds its anchor and, left or right of it, half of what it has besides; so one of these
+    longer runs has to occur in another segment of the anchor."""
+    half = -(-(window - k) // 2)
+    t = Texts(rows["seg"], unit)
+    units = flat.mix(t.units.astype(np.uint64)) if unit == "byte" else t.units
+    pw, inv = flat.powers(len(units) + 1)
+    c = np.zeros(len(units) + 1, np.uint64)
+    np.cumsum((units + np.uint64(1)) * pw[:-1], out=c[1:])
+    at, a = t.at[:-1] + rows["o"].to_numpy(), rows["a"].to_numpy().view(np.uint64)
+    worth = np.zeros(len(rows), bool)
+    for lo, hi, salt in ((at - half, at + k, 1), (at, at + k + half, 2)):
+        fits = np.flatnonzero((lo >= t.at[:-1]) & (hi <= t.at[1:]))
+        lo, hi = lo[fits], hi[fits]
+        h = flat.mix((c[hi] - c[lo]) * inv[lo] + np.uint64(salt)) ^ a[fits]
+        _, of, times = np.unique(h, return_inverse=True, return_counts=True)
+        worth[fits[times[of] > 1]] = True
+    return worth
+
+
+def _index_blocks(index: Index, unit: str, window: int, k: int, most: int):
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows[_extended(rows, unit, window, k)]
+        if not len(rows):
+            return pd.DataFrame(columns=["id", "h", "lo", "n"]).astype("int64")
         seg, off, cls = index(rows["seg"].tolist(), window)
         ids, hs, at = rows["id"].to_numpy()[seg], rows["h"].to_numpy()[seg], rows["lo"].to_numpy()[seg] + off
         order = np.lexsort((at, hs, ids, cls))
@@ -191,17 +221,19 @@ def _later_windows(docs: DataFrame, unit: str, window: int, k: int, index: Index
     near = docs.repartition(buckets, "key").join(places, "key").dropDuplicates(["key", "id", "h"])
     near.write.bucketBy(buckets, "key").option("path", new_path(spark, "repeat-texts")).option("compression", "zstd").saveAsTable(name)
     texts = spark.table(name)
-    segs = materialize(texts.select("id", "h", "text", "places").mapInPandas(_note_segments(unit, window, k), "a long, s long, " + keys + "lo int, n int"), "repeat-segments")
+    segs = texts.select("id", "h", "text", "places").mapInPandas(_note_segments(unit, window, k), "a long, s long, " + keys + "lo int, n int, o int, known boolean")
     place = F.struct("id", "h", "lo")
-    once = materialize(segs.groupBy("a", "s").agg(F.min(place).alias("first"), F.first("n").alias("n"), F.count(F.lit(1)).alias("c")), "repeat-distinct")
+    first = F.min(place).over(Window.partitionBy("deal", "a", "known"))
+    segs = segs.withColumn("deal", F.when(F.col("known"), F.xxhash64("id", "h", "lo")).otherwise(F.col("s"))).drop("s").withColumn("first", first)
+    segs = materialize(segs.select("a", "id", "h", "lo", "n", "o", (~F.col("known") & (place == F.col("first"))).alias("lead")), "repeat-segments")
     # Each later copy of a whole segment.
-    again = segs.join(once.where("c > 1").select("a", "s", "first"), ["a", "s"]).where(place != F.col("first")).select("id", "h", "lo", "n")
+    again, once = segs.where("not lead").select("id", "h", "lo", "n"), segs.where("lead")
     # Anchors with several segments: these are cut out of the texts.
     groups = once.groupBy("a").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-    wanted = once.join(groups, "a").select(F.hash("first.id", "first.h").alias("key"), F.struct("a", "first.id", "first.h", "first.lo", "n", "g").alias("w"))
+    wanted = once.join(groups, "a").select(F.hash("id", "h").alias("key"), F.struct("a", "id", "h", "lo", "n", "o", "g").alias("w"))
     wanted = wanted.groupBy("key").agg(F.collect_list("w").alias("wanted"))
-    split = materialize(texts.select("key", "id", "h", "text").join(wanted, "key").select("id", "h", "text", "wanted").mapInPandas(_cut_segments(unit, window), "a long, seg binary, " + keys + "lo int, n int, g long"), "repeat-cuts")
-    blocks = split.where(F.col("g") <= BLOCK_SEGMENTS).drop("g").repartition("a").sortWithinPartitions("a").mapInPandas(_index_blocks(index, window, BLOCK_BYTES), keys + "lo int, n int")
+    split = materialize(texts.select("key", "id", "h", "text").join(wanted, "key").select("id", "h", "text", "wanted").mapInPandas(_cut_segments(unit, window), "a long, seg binary, " + keys + "lo int, n int, o int, g long"), "repeat-cuts")
+    blocks = split.where(F.col("g") <= BLOCK_SEGMENTS).drop("g").repartition("a").sortWithinPartitions("a").mapInPandas(_index_blocks(index, unit, window, k, BLOCK_BYTES), keys + "lo int, n int")
     # An anchor with too many: by whole windows.
     wide = split.where(F.col("g") > BLOCK_SEGMENTS).mapInPandas(_whole_windows(unit, window), "w binary, " + keys + "lo int").select("id", "h", "lo", F.xxhash64("w").alias("w1"), F.xxhash64(F.lit(1), "w").alias("w2"))
     first = wide.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -212,16 +244,13 @@ def _later_windows(docs: DataFrame, unit: str, window: int, k: int, index: Index
 def _remove(unit: str, window: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            b, out = b[(b["id"] == b["of"]) & (b["h"] == b["of_h"])], []
             t = Texts(b["text"], unit)
             for j, runs in enumerate(b["runs"]):
                 lo, hi = int(t.at[j]), int(t.at[j + 1])
-                edge = np.zeros(hi - lo + 1, np.int64)
-                for r in runs:
-                    if (r["id"], r["h"]) != (b["id"].iat[j], b["h"].iat[j]):
-                        continue
-                    edge[r["lo"]] += 1
-                    edge[r["lo"] + r["n"] + window - 1] -= 1
+                runs = np.asarray(runs, np.int64)
+                begin, n = runs >> 32, runs & 0xFFFFFFFF
+                edge = np.bincount(begin, minlength=hi - lo + 1) - np.bincount(begin + n + window - 1, minlength=hi - lo + 1)
                 gone = np.cumsum(edge)[:-1] > 0
                 if unit == "byte":
                     kept = t.units[lo:hi][~gone].tobytes()
@@ -239,8 +268,9 @@ def remove_repeats(docs: DataFrame, unit: str, window: int, k: int, index: Index
     bounded_batches(docs.sparkSession)
     rows = docs.select(id_of().alias("id"), text_of().alias("text")).withColumn("h", F.xxhash64("text"))
     later, texts = _later_windows(rows.select(F.hash("id", "h").alias("key"), "id", "h", "text"), unit, window, k, index)
-    runs = later.groupBy(F.hash("id", "h").alias("key")).agg(F.collect_list(F.struct("id", "h", "lo", "n")).alias("runs"))
-    cut = texts.select("key", "id", "h", "text").join(runs, "key").select("id", "h", "text", "runs").mapInPandas(_remove(unit, window), "id long, h long, gone long, spans long, sha string, kept string")
+    packed = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
+    runs = later.groupBy(F.hash("id", "h").alias("key"), F.col("id").alias("of"), F.col("h").alias("of_h")).agg(F.collect_list(packed).alias("runs"))
+    cut = texts.select("key", "id", "h", "text").join(runs, "key").drop("key").mapInPandas(_remove(unit, window), "id long, h long, gone long, spans long, sha string, kept string")
     cut = cut if with_text else cut.drop("kept")
     if unit == "byte":
         whole, n = F.col("text"), F.octet_length("text")
