@@ -98,15 +98,12 @@ def anchors(units: np.ndarray, at: np.ndarray, window: int, k: int):
             m = np.minimum(m[: len(m) - s], m[s:])
             span += s
         place = (m[:n] & PLACE).astype(np.int64)
-        start = np.arange(lo, lo + n)
-        text = np.searchsorted(at, start, "right") - 1
-        ok = start + window <= at[text + 1]
-        new = np.ones(n, bool)
-        new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1]) | ~ok[:-1]
-        heads = np.flatnonzero(new & ok)
-        if not len(heads):
-            continue
-        # A run ends before the next head or before the first window that crosses texts.
-        stops = np.flatnonzero(new | ~ok)
-        tails = np.append(stops, n)[np.searchsorted(stops, heads, "right")] - 1
-        yield text[heads], place[heads] + lo, h[place[heads]], heads + lo, tails + lo
+        heads = np.flatnonzero(np.diff(place, prepend=-1))
+        anchor = place[heads] + lo
+        text = np.searchsorted(at, anchor, "right") - 1
+        # Windows that cross texts drop out: those of an anchor lie in its text.
+        first = np.maximum(heads + lo, at[text])
+        last = np.minimum(np.append(heads[1:], n) - 1 + lo, at[text + 1] - window)
+        use = first <= last
+        if use.any():
+            yield text[use], anchor[use], h[place[heads]][use], first[use], last[use]

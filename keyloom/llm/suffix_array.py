@@ -112,12 +112,15 @@ def repeated_windows(segments: list[bytes], window: int) -> tuple[np.ndarray, np
     begin = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
     s = np.frombuffer(BETWEEN.join(segments) + BETWEEN, np.uint8)
     order, eight = suffix_array(s, window)
-    same = common_prefixes(order, eight, window)
-    cls = np.cumsum(~same)
-    seg = np.searchsorted(begin, order, "right") - 1
+    # Of the suffixes, those that start a window; they are still in order.
+    seg_of = np.repeat(np.arange(len(sizes)), sizes + 1)
+    n_windows = np.maximum(sizes - window + 1, 0)
+    edge = np.bincount(begin, minlength=len(s) + 1) - np.bincount(begin + n_windows, minlength=len(s) + 1)
+    starts = np.cumsum(edge)[:-1] > 0
+    order = order[starts[order]]
+    cls = np.cumsum(~common_prefixes(order, eight, window)) if len(order) else order
+    seg = seg_of[order]
     off = order - begin[seg]
-    whole = off <= sizes[seg] - window
-    seg, off, cls = seg[whole], off[whole], cls[whole]
     often = np.bincount(cls)[cls] > 1
     return seg[often], off[often], cls[often]
 
