@@ -41,12 +41,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.groupBy("b").agg(F.min("a").alias("label")).select(F.col("b").alias("node"), "label").unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
-def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Any], check: Callable[[DataFrame, Any], DataFrame], again: Callable[[DataFrame, Any], DataFrame], most: int) -> DataFrame:
+def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Any], check: Callable[[DataFrame, Any], DataFrame], again: Callable[[DataFrame, Any], DataFrame]) -> DataFrame:
     """Links (a, b) between members c of the buckets k of ``bands`` that ``check`` lets pass, without all pairs of a bucket.
 
-    First each member against the least of its bucket; then, in buckets whose members are not all in one component yet, the
-    members of different components. Of these buckets, one with more than ``most`` members is dealt out again by (k, k2), with k2
-    from ``again``. ``prepare`` gets the members that met another one and makes what ``check`` and ``again`` need.
+    First each member against the least of its bucket. Members of buckets that are not in one component after that are dealt out
+    again by longer keys, ``again``, and once more compared with the least; only in buckets of these that are still not in one
+    component, members of different components are compared with each other. ``prepare`` gets the members that met another one and makes
+    what ``check`` and ``again`` need.
     """
     bands = materialize(bands, "bands")
     heads = bands.groupBy("k").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -54,14 +55,22 @@ def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Any], check: C
     star = materialize(met.where("c <> least").select(F.col("least").alias("a"), F.col("c").alias("b")).distinct(), "star")
     state = prepare(met.select("c").distinct())
     found = materialize(check(star, state), "links")
-    label = components(found)
-    named = met.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    mixed = named.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("k")
-    left = materialize(named.join(mixed, "k").select("k", "c", "label", "n"), "mixed")
-    large = left.where(F.col("n") > most)
-    large = large.join(again(large.select("c").distinct(), state), "c").select(F.xxhash64("k", "k2").alias("k"), "c", "label")
-    dealt = left.where(F.col("n") <= most).select("k", "c", "label").unionByName(large)
-    other = dealt.select("k", F.col("c").alias("b"), F.col("label").alias("to"))
-    cross = dealt.withColumnRenamed("c", "a").join(other, "k").where("label < to").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = check(cross.join(star, ["a", "b"], "left_anti"), state)
+    mixed = _mixed(met.select("k", "c"), components(found))
+    second = materialize(again(mixed.select("c").distinct(), state).select(F.col("k2").alias("k"), "c").distinct(), "bands")
+    heads = second.groupBy("k").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialize(second.join(heads, "k").select("k", "c", "least"), "buckets")
+    next_star = met.where("c <> least").select(F.col("least").alias("a"), F.col("c").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    next_star = materialize(next_star, "star")
+    found = materialize(found.unionByName(check(next_star, state)), "links")
+    mixed = _mixed(met.select("k", "c"), components(found))
+    other = mixed.select("k", F.col("c").alias("b"), F.col("label").alias("to"))
+    cross = mixed.withColumnRenamed("c", "a").join(other, "k").where("label < to").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = check(cross.join(star.unionByName(next_star), ["a", "b"], "left_anti"), state)
     return materialize(found.unionByName(more), "links")
+
+
+def _mixed(met: DataFrame, label: DataFrame) -> DataFrame:
+    """(k, c, label) of the buckets whose members are in several components."""
+    named = met.join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    several = named.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("k")
+    return materialize(named.join(several, "k").select("k", "c", "label"), "mixed")

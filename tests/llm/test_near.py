@@ -46,8 +46,7 @@ def test_classes_equal_brute_force(spark):
     assert got == brute.near(list(enumerate(texts)))
 
 
-def test_large_buckets_lose_no_link(spark, monkeypatch):
-    monkeypatch.setattr(minhash, "BUCKET", 2)
+def test_shared_passages_lose_no_link(spark):
     r = random.Random(9)
     shared = " ".join(str(r.random()) for _ in range(60))
     texts = [shared + " " + " ".join(str(r.random()) for _ in range(r.choice([3, 25, 60]))) for _ in range(60)] + corpus(2)
