@@ -56,10 +56,12 @@ def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Any], check: C
     state = prepare(met.select("c").distinct())
     found = materialize(check(star, state), "links")
     mixed = _mixed(met.select("k", "c"), components(found))
-    second = materialize(again(mixed.select("c").distinct(), state).select(F.col("k2").alias("k"), "c").distinct(), "bands")
-    heads = second.groupBy("k").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialize(second.join(heads, "k").select("k", "c", "least"), "buckets")
-    next_star = met.where("c <> least").select(F.col("least").alias("a"), F.col("c").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
+    named = mixed.select("c", "label").distinct()
+    second = materialize(again(named.select("c"), state).select(F.col("k2").alias("k"), "c").distinct().join(named, "c"), "bands")
+    heads = second.groupBy("k").agg(F.min(F.struct("c", "label")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialize(second.join(heads, "k").select("k", "c", "label", "least"), "buckets")
+    # Members that a link joins already need no other.
+    next_star = met.where("label <> least.label").select(F.col("least.c").alias("a"), F.col("c").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     next_star = materialize(next_star, "star")
     found = materialize(found.unionByName(check(next_star, state)), "links")
     mixed = _mixed(met.select("k", "c"), components(found))
