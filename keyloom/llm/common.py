@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -21,11 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one is set only where the session names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="keyloom-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+
+
+@functools.cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="keyloom-shared-")
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -39,6 +41,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Narrow rows that much work follows, over all cores: a small table is else read by few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *df.columns)
+
+
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast if a count (of a materialised, narrow table) shows at most ``limit`` rows; else leave the join to AQE."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

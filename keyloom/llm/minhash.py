@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import bounded_batches, id_back, id_of, materialize, packed, text_of, unpacked
-from .components import bucket_links, components
+from .common import bounded_batches, id_back, id_of, materialize, packed, spread, text_of, unpacked
+from .components import bucket_links
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -139,11 +139,11 @@ def _similar(least: float):
 
 def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     x, y = sets.select(F.col("c").alias("a"), F.col("cells").alias("x")), sets.select(F.col("c").alias("b"), F.col("cells").alias("y"))
-    return pairs.join(x, "a").join(y, "b").mapInPandas(_similar(least), "a long, b long")
+    return spread(pairs).join(x, "a").join(y, "b").mapInPandas(_similar(least), "a long, b long")
 
 
-def links(rows: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """(a, b) links between different texts; ``rows``: id, c (hash of the text), text."""
+def links(rows: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
+    """(a, b) links between different texts, and their components (node, label); ``rows``: id, c (hash of the text), text."""
     bands = rows.select("c", "text").mapInPandas(_bands, "k long, c long").distinct()
 
     def sets(wanted: DataFrame) -> DataFrame:
@@ -163,8 +163,8 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 def _classes(docs: DataFrame, least: float) -> DataFrame:
     bounded_batches(docs.sparkSession)
     rows = docs.select(id_of().alias("id"), text_of().alias("text")).withColumn("c", F.xxhash64("text"))
-    found = links(rows, least)
-    label = components(found).withColumnRenamed("node", "c")
+    found, label = links(rows, least)
+    label = label.withColumnRenamed("node", "c")
     degree = found.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
     blank = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     narrow = materialize(rows.select("id", "c", blank.alias("blank")), "near-rows")
