@@ -44,19 +44,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Any], check: Callable[[DataFrame, Any], DataFrame], again: Callable[[DataFrame, Any], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between members c of the buckets k of ``bands`` that ``check`` lets pass, without all pairs of a bucket.
 
-    First each member against the least of its bucket. Members of buckets that are not in one component after that are dealt out
+    ``bands`` is read twice: written, or cheap to make. First each member against the least of its bucket. Members of buckets that are not in one component after that are dealt out
     again by longer keys, ``again``, and once more compared with the least; only in buckets of these that are still not in one
     component, members of different components are compared with each other. ``prepare`` gets the members that met another one and makes
     what ``check`` and ``again`` need. Returns the links and the components (node, label) they make.
     """
-    bands = materialize(bands, "bands")
-    heads = bands.groupBy("k").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # Written first, so that its size is known: a small one is broadcast and the bands stay where they are.
+    heads = materialize(bands.groupBy("k").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "heads")
     met = materialize(bands.join(heads, "k"), "buckets")
     star = materialize(met.where("c <> least").select(F.col("least").alias("a"), F.col("c").alias("b")).distinct(), "star")
     state = prepare(met.select("c").distinct())
     found = materialize(check(star, state), "links")
     label = components(found)
-    mixed = _mixed(met.select("k", "c"), label)
+    # The least has met all others: what is left is between the others.
+    mixed = _mixed(met.where("c <> least").select("k", "c"), label)
     named = mixed.select("c", "label").distinct()
     second = materialize(again(named.select("c"), state).select(F.col("k2").alias("k"), "c").distinct().join(named, "c"), "bands")
     heads = second.groupBy("k").agg(F.min(F.struct("c", "label")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -65,7 +66,7 @@ def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Any], check: C
     next_star = met.where("label <> least.label").select(F.col("least.c").alias("a"), F.col("c").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     next_star = materialize(next_star, "star")
     found, label = _joined(found, label, check(next_star, state))
-    mixed = _mixed(met.select("k", "c"), label)
+    mixed = _mixed(met.where("c <> least.c").select("k", "c"), label)
     other = mixed.select("k", F.col("c").alias("b"), F.col("label").alias("to"))
     cross = mixed.withColumnRenamed("c", "a").join(other, "k").where("label < to").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cross = materialize(cross.join(star.unionByName(next_star), ["a", "b"], "left_anti"), "cross")

@@ -144,7 +144,7 @@ def _checked(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 def links(rows: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """(a, b) links between different texts, and their components (node, label); ``rows``: id, c (hash of the text), text."""
-    bands = rows.select("c", "text").mapInPandas(_bands, "k long, c long").distinct()
+    bands = materialize(rows.select("c", "text").mapInPandas(_bands, "k long, c long").distinct(), "bands")
 
     def sets(wanted: DataFrame) -> DataFrame:
         # One document of each text: copies don't gather.
