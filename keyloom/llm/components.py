@@ -44,10 +44,11 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Any], check: Callable[[DataFrame, Any], DataFrame], again: Callable[[DataFrame, Any], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between members c of the buckets k of ``bands`` that ``check`` lets pass, without all pairs of a bucket.
 
-    ``bands`` is read twice: written, or cheap to make. First each member against the least of its bucket. Members of buckets that are not in one component after that are dealt out
-    again by longer keys, ``again``, and once more compared with the least; only in buckets of these that are still not in one
-    component, members of different components are compared with each other. ``prepare`` gets the members that met another one and makes
-    what ``check`` and ``again`` need. Returns the links and the components (node, label) they make.
+    ``bands`` is read twice: written, or cheap to make. First each member against the least of its bucket. Members of buckets that are
+    not in one component after that are dealt out again by longer keys, ``again``, and once more compared with the least; only in
+    buckets of these that are still not in one component, members of different components are compared with each other. ``prepare``
+    gets the members that met another one and makes what ``check`` and ``again`` need. Returns the links and the components (node,
+    label) they make.
     """
     # Written first, so that its size is known: a small one is broadcast and the bands stay where they are.
     heads = materialize(bands.groupBy("k").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "heads")
@@ -67,8 +68,12 @@ def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Any], check: C
     next_star = materialize(next_star, "star")
     found, label = _joined(found, label, check(next_star, state))
     mixed = _mixed(met.where("c <> least.c").select("k", "c"), label)
-    other = mixed.select("k", F.col("c").alias("b"), F.col("label").alias("to"))
-    cross = mixed.withColumnRenamed("c", "a").join(other, "k").where("label < to").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    # A pair is made in the first bucket that it shares only, so none has to be dropped after; a member has few keys.
+    keys = mixed.groupBy("c").agg(F.collect_list("k").alias("ks"))
+    mixed = materialize(mixed.join(keys, "c"), "mixed")
+    other = mixed.select("k", F.col("c").alias("b"), F.col("label").alias("to"), F.col("ks").alias("others"))
+    first = F.array_min(F.array_intersect("ks", "others")) == F.col("k")
+    cross = mixed.withColumnRenamed("c", "a").join(other, "k").where("label < to").where(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     cross = materialize(cross.join(star.unionByName(next_star), ["a", "b"], "left_anti"), "cross")
     return _joined(found, label, check(cross, state))
 
