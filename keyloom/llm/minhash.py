@@ -7,9 +7,12 @@ the earliest in each of K coordinates: the work is its length plus DARTS, not le
 
 Equal texts are one from the start. Signatures are cut into BANDS bands; texts that share a band meet in a bucket. Each is
 compared with the bucket's least member; the links found make components. Texts in buckets that are not of one component then are
-dealt out again by a second signature with longer bands, compared with the least there, and at last, in buckets that are still not
-of one component, with those of other components. Every candidate is checked by exact weighted Jaccard similarity. A pair at similarity 0.8 shares
-a band with probability 0.99995; one that no component joins by then is seen again with 0.990 (0.9996 at 0.85).
+dealt out again by a second signature with longer bands and compared with the least there. Texts in buckets that are still not of one
+component are compared with those of other components that they share a prefix element with (Xiao et al., 2008): elements sorted
+from rare to common, two texts that are similar enough must share one among the first few of each, and have enough left after it.
+That loses no pair, and texts that drifted apart in a large group share common elements only, which their prefixes don't reach.
+Every candidate is checked by exact weighted Jaccard similarity. A pair at similarity 0.8 shares a band with probability 0.99995; one
+that no component joins by then is seen again with 0.990 (0.9996 at 0.85).
 
 Edge cases: null text is empty; texts without words are no one's near-duplicates, not even each other's; one-word texts are
 equal or not. Repeated rows share a class. The class id is the least doc_id in the class (null ids are below all: the class id is
@@ -34,6 +37,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 SECOND_BANDS, SECOND_ROWS = 25, 8
+#: Ratio of the bounds of a size class.
+WIDTH = 1.05
 
 
 def shingle_hashes(texts, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -121,6 +126,41 @@ def _second_bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"k2": keys.reshape(-1).view(np.int64), "c": np.repeat(b["c"].to_numpy(), SECOND_BANDS)})
 
 
+def _elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        parts = [np.frombuffer(x, np.uint32) for x in b["cells"]]
+        n = np.array([len(p) for p in parts], np.int64)
+        yield pd.DataFrame({"c": np.repeat(b["c"].to_numpy(), n), "label": np.repeat(b["label"].to_numpy(), n), "n": np.repeat(n, n), "cell": np.concatenate(parts).astype(np.int64)})
+
+
+def prefix_pairs(named: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b), a < b, of texts of different labels that may be similar; ``named``: c, label. No pair at ``least`` or more is lost.
+
+    Two sets of sizes m and n that are similar enough share least / (1 + least) * (m + n) elements or more. The first that they
+    share, in one order of all elements, has so many places from it to the end of each. Places are joined by element and by the
+    size classes of both sets, so that a place is dealt out only where it is early enough for sets of that class; elements of one
+    set only take up the first places, but are not dealt out.
+    """
+    share = least / (1 + least)
+    cells = materialize(sets.join(named, "c").mapInPandas(_elements, "c long, label long, n long, cell long"), "elements")
+    often = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    own = cells.join(often, "cell").groupBy("c", "label", "n").agg(F.sort_array(F.collect_list(F.struct("times", "cell"))).alias("cells"))
+    reach = math.ceil(-math.log(least) / math.log(WIDTH))
+    z = F.floor(F.log("n") / math.log(WIDTH)).cast("long")
+    smallest = F.greatest(F.ceil(F.pow(F.lit(WIDTH), "p") - 1e-6), F.ceil(least * F.col("n") - 1e-6))
+    last = F.col("n") - F.ceil(share * (F.col("n") + smallest) - 1e-6)
+    skipped = F.col("n") - F.size("cells")
+    dealt = own.withColumn("z", z).withColumn("p", F.explode(F.sequence(F.col("z") - reach, F.col("z") + reach)))
+    dealt = dealt.select("c", "label", "n", "z", "p", skipped.alias("skipped"), F.posexplode(F.slice("cells", F.lit(1), F.greatest(last - skipped + 1, F.lit(0)).cast("int"))).alias("i", "x"))
+    key = F.xxhash64(F.least("z", "p"), F.greatest("z", "p"), "x.cell")
+    dealt = materialize(dealt.select(key.alias("k"), "c", "label", "n", "z", "p", (F.col("n") - F.col("skipped") - F.col("i")).alias("rest")), "places")
+    several = dealt.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("k")
+    dealt = materialize(dealt.join(several, "k"), "places")
+    y = dealt.where("z >= p").select("k", F.col("c").alias("d"), F.col("label").alias("to"), F.col("n").alias("m"), F.col("z").alias("zz"), F.col("rest").alias("left"))
+    both = dealt.where("z <= p").join(y, "k").where("label <> to and (z < zz or c < d)").where(F.least("rest", "left") >= share * (F.col("n") + F.col("m")) - 1e-6)
+    return both.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
+
+
 def _similar(least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -152,7 +192,8 @@ def links(rows: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
         return materialize(rows.join(one, ["id", "c"]).select("c", "text").mapInPandas(_sets, "c long, cells binary").dropDuplicates(["c"]), "sets")
 
     again = lambda wanted, s: s.join(wanted, "c", "left_semi").mapInPandas(_second_bands, "k2 long, c long")
-    return bucket_links(bands, sets, lambda pairs, s: _checked(pairs, s, least), again)
+    across = lambda mixed, s: prefix_pairs(mixed.select("c", "label").distinct(), s, least)
+    return bucket_links(bands, sets, lambda pairs, s: _checked(pairs, s, least), again, across)
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

@@ -54,6 +54,21 @@ def test_shared_passages_lose_no_link(spark):
     assert got == brute.near(list(enumerate(texts)))
 
 
+def test_prefixes_lose_no_pair(spark):
+    r = random.Random(4)
+    sets = []
+    for _ in range(12):
+        base = [r.randrange(2**32) for _ in range(r.choice([1, 4, 30, 90]))]
+        for _ in range(10):
+            kept = [x for x in base if r.random() > r.choice([0, 0.05, 0.2])] or base
+            sets.append(sorted(set(kept + [r.randrange(2**32) for _ in range(r.choice([0, 1, len(base) // 8]))])))
+    frame_of = spark.createDataFrame([(i, bytearray(np.array(x, np.uint32).tobytes())) for i, x in enumerate(sets)], "c long, cells binary")
+    named = spark.createDataFrame([(i, i) for i in range(len(sets))], "c long, label long")
+    got = {(x.a, x.b) for x in minhash.prefix_pairs(named, frame_of, 0.8).collect()}
+    near = {(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})}
+    assert near and near <= got and len(got) < 3 * len(near)
+
+
 def test_odd_rows(spark):
     rows = minhash.near_classes(frame(spark, EDGE)).collect()
     assert len(rows) == len(EDGE) and len({x.class_id for x in rows}) == len(EDGE)
