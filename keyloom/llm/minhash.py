@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import flat
@@ -133,17 +133,26 @@ def _elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"c": np.repeat(b["c"].to_numpy(), n), "label": np.repeat(b["label"].to_numpy(), n), "n": np.repeat(n, n), "cell": np.concatenate(parts).astype(np.int64)})
 
 
+def odd_bits() -> Column:
+    """For each bit of 4 longs, if the number of elements (column cell) that hash to it is odd, as an aggregate."""
+    h = F.xxhash64("cell")
+    of = lambda i: F.when(F.shiftrightunsigned(h, 6).bitwiseAND(3) == i, F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return F.array(*[F.bit_xor(of(i)) for i in range(4)])
+
+
 def prefix_pairs(named: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b), a < b, of texts of different labels that may be similar; ``named``: c, label. No pair at ``least`` or more is lost.
 
     Two sets of sizes m and n that are similar enough share least / (1 + least) * (m + n) elements or more. The first that they
     share, in one order of all elements, has so many places from it to the end of each. Places are joined by element and by the
     size classes of both sets, so that a place is dealt out only where it is early enough for sets of that class; elements of one
-    set only take up the first places, but are not dealt out.
+    set only take up the first places, but are not dealt out. A bit that is odd in one set only stands for an element or more that
+    only one of them has: there may be no more such bits than sets so similar have such elements (Sandes et al., 2020).
     """
     share = least / (1 + least)
     cells = materialize(sets.join(named, "c").mapInPandas(_elements, "c long, label long, n long, cell long"), "elements")
     often = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    bits = cells.groupBy("c").agg(odd_bits().alias("bits"))
     own = cells.join(often, "cell").groupBy("c", "label", "n").agg(F.sort_array(F.collect_list(F.struct("times", "cell"))).alias("cells"))
     reach = math.ceil(-math.log(least) / math.log(WIDTH))
     z = F.floor(F.log("n") / math.log(WIDTH)).cast("long")
@@ -155,9 +164,10 @@ def prefix_pairs(named: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     key = F.xxhash64(F.least("z", "p"), F.greatest("z", "p"), "x.cell")
     dealt = materialize(dealt.select(key.alias("k"), "c", "label", "n", "z", "p", (F.col("n") - F.col("skipped") - F.col("i")).alias("rest")), "places")
     several = dealt.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("k")
-    dealt = materialize(dealt.join(several, "k"), "places")
-    y = dealt.where("z >= p").select("k", F.col("c").alias("d"), F.col("label").alias("to"), F.col("n").alias("m"), F.col("z").alias("zz"), F.col("rest").alias("left"))
-    both = dealt.where("z <= p").join(y, "k").where("label <> to and (z < zz or c < d)").where(F.least("rest", "left") >= share * (F.col("n") + F.col("m")) - 1e-6)
+    dealt = materialize(dealt.join(several, "k").join(bits, "c"), "places")
+    y = dealt.where("z >= p").select("k", F.col("c").alias("d"), F.col("label").alias("to"), F.col("n").alias("m"), F.col("z").alias("zz"), F.col("rest").alias("left"), F.col("bits").alias("bits2"))
+    apart = sum((F.bit_count(F.get("bits", i).bitwiseXOR(F.get("bits2", i))) for i in range(4)), F.lit(0))
+    both = dealt.where("z <= p").join(y, "k").where("label <> to and (z < zz or c < d)").where(F.least("rest", "left") >= share * (F.col("n") + F.col("m")) - 1e-6).where(apart <= (1 - 2 * share) * (F.col("n") + F.col("m")) + 1e-6)
     return both.select(F.least("c", "d").alias("a"), F.greatest("c", "d").alias("b")).distinct()
 
 
