@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -41,15 +41,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.groupBy("b").agg(F.min("a").alias("label")).select(F.col("b").alias("node"), "label").unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
-def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Any], check: Callable[[DataFrame, Any], DataFrame], again: Callable[[DataFrame, Any], DataFrame], across: Callable[[DataFrame, Any], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Any], check: Callable[[DataFrame, Any], DataFrame], across: Callable[[DataFrame, Any], DataFrame], again: Callable[[DataFrame, Any], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between members c of the buckets k of ``bands`` that ``check`` lets pass, without all pairs of a bucket.
 
     ``bands`` is read twice: written, or cheap to make. First each member against the least of its bucket. Members of buckets that are
-    not in one component after that are dealt out again by longer keys, ``again``, and once more compared with the least; only in
-    buckets of these that are still not in one component, members of different components are compared with each other. ``prepare``
-    gets the members that met another one and makes what ``check`` and ``again`` need. ``across`` makes the last pairs (a, b) from
-    (k, c, label) of the members left; without it these are all pairs of a bucket with different labels. Returns the links and the
-    components (node, label) they make.
+    not in one component after that are compared with the next least; in buckets that are still not in one component, members of
+    different components are compared with each other. ``prepare`` gets the members that met another one and makes what ``check``
+    needs. ``across`` makes the last pairs (a, b) from (k, c, label) of the members left, at least those of different labels that
+    share a bucket and could be linked. Returns the links and the components (node, label) they make.
     """
     # Written first, so that its size is known: a small one is broadcast and the bands stay where they are.
     heads = materialize(bands.groupBy("k").agg(F.min("c").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1"), "heads")
@@ -60,27 +59,28 @@ def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Any], check: C
     label = components(found)
     # The least has met all others: what is left is between the others.
     mixed = _mixed(met.where("c <> least").select("k", "c"), label)
-    named = mixed.select("c", "label").distinct()
-    second = materialize(again(named.select("c"), state).select(F.col("k2").alias("k"), "c").distinct().join(named, "c"), "bands")
-    heads = second.groupBy("k").agg(F.min(F.struct("c", "label")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = materialize(second.join(heads, "k").select("k", "c", "label", "least"), "buckets")
+    if again:  # dealt out by other keys
+        named = mixed.select("c", "label").distinct()
+        mixed = materialize(again(named.select("c"), state).select(F.col("k2").alias("k"), "c").distinct().join(named, "c"), "bands")
+    heads = mixed.groupBy("k").agg(F.min(F.struct("c", "label")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = materialize(mixed.join(heads, "k").select("k", "c", "label", "least"), "buckets")
     # Members that a link joins already need no other.
     next_star = met.where("label <> least.label").select(F.col("least.c").alias("a"), F.col("c").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
     next_star = materialize(next_star, "star")
     found, label = _joined(found, label, check(next_star, state))
     mixed = _mixed(met.where("c <> least.c").select("k", "c"), label)
-    cross = (across or _in_buckets)(mixed, state)
+    cross = across(mixed, state)
     cross = materialize(cross.join(star.unionByName(next_star), ["a", "b"], "left_anti"), "cross")
     return _joined(found, label, check(cross, state))
 
 
-def _in_buckets(mixed: DataFrame, _: Any) -> DataFrame:
-    """Pairs (a, b) of different labels that share a bucket; made in the first bucket that they share only: a member has few keys."""
-    keys = mixed.groupBy("c").agg(F.collect_list("k").alias("ks"))
+def in_buckets(mixed: DataFrame, fits: Column) -> DataFrame:
+    """Pairs (a, b) of different labels that share a bucket, if ``fits`` (over size and size2) says so; made in their first bucket only."""
+    keys = mixed.groupBy("c").agg(F.collect_list("k").alias("ks"))  # a member has few keys
     mixed = materialize(mixed.join(keys, "c"), "mixed")
-    other = mixed.select("k", F.col("c").alias("b"), F.col("label").alias("to"), F.col("ks").alias("others"))
+    other = mixed.select("k", F.col("c").alias("b"), F.col("label").alias("to"), F.col("size").alias("size2"), F.col("ks").alias("others"))
     first = F.array_min(F.array_intersect("ks", "others")) == F.col("k")
-    return mixed.withColumnRenamed("c", "a").join(other, "k").where("label < to").where(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return mixed.withColumnRenamed("c", "a").join(other, "k").where("label < to").where(fits).where(first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def _joined(found: DataFrame, label: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -203,7 +203,7 @@ def links(rows: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
 
     again = lambda wanted, s: s.join(wanted, "c", "left_semi").mapInPandas(_second_bands, "k2 long, c long")
     across = lambda mixed, s: prefix_pairs(mixed.select("c", "label").distinct(), s, least)
-    return bucket_links(bands, sets, lambda pairs, s: _checked(pairs, s, least), again, across)
+    return bucket_links(bands, sets, lambda pairs, s: _checked(pairs, s, least), across, again)
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
