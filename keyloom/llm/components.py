@@ -41,7 +41,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return e.groupBy("b").agg(F.min("a").alias("label")).select(F.col("b").alias("node"), "label").unionByName(e.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
-def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Any], check: Callable[[DataFrame, Any], DataFrame], across: Callable[[DataFrame, Any], DataFrame], again: Callable[[DataFrame, Any], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Any], check: Callable[[DataFrame, Any], DataFrame], across: Callable[[DataFrame, Any], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Links (a, b) between members c of the buckets k of ``bands`` that ``check`` lets pass, without all pairs of a bucket.
 
     ``bands`` is read twice: written, or cheap to make. First each member against the least of its bucket. Members of buckets that are
@@ -59,9 +59,6 @@ def bucket_links(bands: DataFrame, prepare: Callable[[DataFrame], Any], check: C
     label = components(found)
     # The least has met all others: what is left is between the others.
     mixed = _mixed(met.where("c <> least").select("k", "c"), label)
-    if again:  # dealt out by other keys
-        named = mixed.select("c", "label").distinct()
-        mixed = materialize(again(named.select("c"), state).select(F.col("k2").alias("k"), "c").distinct().join(named, "c"), "bands")
     heads = mixed.groupBy("k").agg(F.min(F.struct("c", "label")).alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1")
     met = materialize(mixed.join(heads, "k").select("k", "c", "label", "least"), "buckets")
     # Members that a link joins already need no other.

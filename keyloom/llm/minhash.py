@@ -7,12 +7,11 @@ the earliest in each of K coordinates: the work is its length plus DARTS, not le
 
 Equal texts are one from the start. Signatures are cut into BANDS bands; texts that share a band meet in a bucket. Each is
 compared with the bucket's least member; the links found make components. Texts in buckets that are not of one component then are
-dealt out again by a second signature with longer bands and compared with the least there. Texts in buckets that are still not of one
+compared with the next least. Texts in buckets that are still not of one
 component are compared with those of other components that they share a prefix element with (Xiao et al., 2008): elements sorted
 from rare to common, two texts that are similar enough must share one among the first few of each, and have enough left after it.
 That loses no pair, and texts that drifted apart in a large group share common elements only, which their prefixes don't reach.
-Every candidate is checked by exact weighted Jaccard similarity. A pair at similarity 0.8 shares a band with probability 0.99995; one
-that no component joins by then is seen again with 0.990 (0.9996 at 0.85).
+Every candidate is checked by exact weighted Jaccard similarity. A pair at similarity 0.8 shares a band with probability 0.99995.
 
 Edge cases: null text is empty; texts without words are no one's near-duplicates, not even each other's; one-word texts are
 equal or not. Repeated rows share a class. The class id is the least doc_id in the class (null ids are below all: the class id is
@@ -36,7 +35,6 @@ from .components import bucket_links
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
-SECOND_BANDS, SECOND_ROWS = 25, 8
 #: Ratio of the bounds of a size class.
 WIDTH = 1.05
 
@@ -117,15 +115,6 @@ def _sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"c": b["c"], "cells": [np.sort((cell[i:j] >> np.uint64(32)).astype(np.uint32)).tobytes() for i, j in zip(cuts, cuts[1:])]})
 
 
-def _second_bands(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for b in batches:
-        parts = [np.frombuffer(x, np.uint32) for x in b["cells"]]
-        doc = np.repeat(np.arange(len(b)), [len(p) for p in parts])
-        sig = dart_signatures(doc, flat.mix(np.concatenate(parts).astype(np.uint64)), len(b), SECOND_BANDS * SECOND_ROWS, seed=1)
-        keys = band_keys(sig, SECOND_BANDS, SECOND_ROWS)
-        yield pd.DataFrame({"k2": keys.reshape(-1).view(np.int64), "c": np.repeat(b["c"].to_numpy(), SECOND_BANDS)})
-
-
 def _elements(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
         parts = [np.frombuffer(x, np.uint32) for x in b["cells"]]
@@ -201,9 +190,8 @@ def links(rows: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
         one = rows.groupBy("c").agg(F.min("id").alias("id")).join(wanted, "c")
         return materialize(rows.join(one, ["id", "c"]).select("c", "text").mapInPandas(_sets, "c long, cells binary").dropDuplicates(["c"]), "sets")
 
-    again = lambda wanted, s: s.join(wanted, "c", "left_semi").mapInPandas(_second_bands, "k2 long, c long")
     across = lambda mixed, s: prefix_pairs(mixed.select("c", "label").distinct(), s, least)
-    return bucket_links(bands, sets, lambda pairs, s: _checked(pairs, s, least), across, again)
+    return bucket_links(bands, sets, lambda pairs, s: _checked(pairs, s, least), across)
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

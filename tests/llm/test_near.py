@@ -77,3 +77,11 @@ def test_odd_rows(spark):
     assert minhash.keep_one(same).count() == 1
     assert minhash.keep_one(frame(spark, ["a b c d e f"] * 3 + [None, ""], [4, 4, 5, 6, 7])).columns == same.columns
     assert minhash.keep_one(frame(spark, [])).count() == 0
+
+
+def test_members_of_a_mixed_bucket_need_no_second_band(spark, monkeypatch):
+    # All texts in one bucket, the least and the next one like no other: every similar pair is joined.
+    texts = corpus(5)
+    monkeypatch.setattr(minhash, "_bands", lambda batches: (b.assign(k=1)[["k", "c"]] for b in batches))
+    got = {x.doc_id: x.class_id for x in minhash.near_classes(frame(spark, texts)).collect()}
+    assert got == brute.near(list(enumerate(texts)))
