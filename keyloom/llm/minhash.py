@@ -195,8 +195,12 @@ def links(rows: DataFrame, least: float = SIMILARITY) -> tuple[DataFrame, DataFr
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
-    """One row per row: doc_id, class_id, class_size, n_links (links of its text to different texts)."""
-    return _classes(docs, least).select(id_back("id").alias("doc_id"), id_back("class").alias("class_id"), "class_size", "n_links")
+    """One row per row: doc_id, class_id, class_size, links_found.
+
+    ``links_found`` is the number of links of the row's text that were checked and found while classes were made: at least one where
+    a class has different texts, but not all links, as texts of one component are not compared again.
+    """
+    return _classes(docs, least).select(id_back("id").alias("doc_id"), id_back("class").alias("class_id"), "class_size", "links_found")
 
 
 def _classes(docs: DataFrame, least: float) -> DataFrame:
@@ -204,13 +208,13 @@ def _classes(docs: DataFrame, least: float) -> DataFrame:
     rows = docs.select(id_of().alias("id"), text_of().alias("text")).withColumn("c", F.xxhash64("text"))
     found, label = links(rows, least)
     label = label.withColumnRenamed("node", "c")
-    degree = found.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n_links"))
+    degree = found.select(F.explode(F.array("a", "b")).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("links_found"))
     blank = ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     narrow = materialize(rows.select("id", "c", blank.alias("blank")), "near-rows")
     group = F.when(F.col("blank"), F.struct(F.lit(1).alias("kind"), F.col("id").alias("of"))).otherwise(F.struct(F.lit(0).alias("kind"), F.coalesce("label", "c").alias("of")))
     named = narrow.join(label, "c", "left").join(degree, "c", "left").withColumn("g", group)
     size = named.groupBy("g").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("class_size"))
-    return named.join(size, "g").select("id", "c", "class", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return named.join(size, "g").select("id", "c", "class", "class_size", F.coalesce("links_found", F.lit(0)).cast("long").alias("links_found"))
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:

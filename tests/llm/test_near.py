@@ -85,3 +85,15 @@ def test_members_of_a_mixed_bucket_need_no_second_band(spark, monkeypatch):
     monkeypatch.setattr(minhash, "_bands", lambda batches: (b.assign(k=1)[["k", "c"]] for b in batches))
     got = {x.doc_id: x.class_id for x in minhash.near_classes(frame(spark, texts)).collect()}
     assert got == brute.near(list(enumerate(texts)))
+
+
+def test_links_found_are_evidence_of_the_class(spark):
+    texts = corpus(6) + ["one", "one"]
+    rows = minhash.near_classes(frame(spark, texts)).collect()
+    assert rows[0].__fields__ == ["doc_id", "class_id", "class_size", "links_found"]
+    kinds = {}
+    for x in rows:
+        kinds.setdefault(x.class_id, set()).add(texts[x.doc_id])
+    assert all((x.links_found > 0) == (len(kinds[x.class_id]) > 1) for x in rows)
+    near = {x.doc_id: sum(brute.near([(0, texts[x.doc_id]), (1, t)])[1] == 0 for t in {*texts} - {texts[x.doc_id]}) for x in rows[:40]}
+    assert all(x.links_found <= near[x.doc_id] for x in rows[:40])
