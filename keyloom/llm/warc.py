@@ -95,12 +95,14 @@ def write_archive(pages: DataFrame, revisit_from: int = 0) -> Archive:
 
 def parse(records: DataFrame) -> DataFrame:
     """Fields of whole records: the header is what stands before the first empty line."""
-    # Only the header is text: it has no more than 64 KB before the first empty line, whose place is found in bytes.
-    at = F.instr(F.hex(F.substring("record", 1, 65536)), "0D0A0D0A")
+    # Only the header is text. Its end is found in bytes (one character each in Latin-1), in the whole record where its first 64 KB have none.
+    end = lambda b: F.instr(F.decode(b, "ISO-8859-1"), CRLF * 2)
+    start = end(F.substring("record", 1, 65536))
+    at = F.when(start > 0, start).otherwise(end(F.col("record")))
     head = F.decode(F.substring(F.col("record"), F.lit(1), F.col("__at")), "UTF-8")
     field = lambda k: F.regexp_extract("__head", rf"(?m)^{k}: ([^\r\n]*)\r?$", 1)
     number = lambda k: F.expr(f"try_cast(nullif(regexp_extract(__head, '(?m)^{k}: ([^\\\\r\\\\n]*)\\\\r?$', 1), '') as bigint)")
-    rows = records.withColumn("__at", ((at - 1) / 2).cast("int") + 4).withColumn("__head", head)
+    rows = records.withColumn("__at", at + 3).withColumn("__head", head)
     body = F.substring(F.col("record"), F.col("__at") + 1, number("Content-Length").cast("int"))
     return rows.withColumn("__body", body).select(
         "digest", field("WARC-Type").alias("record_type"), number("WARC-Page-ID").alias("page_id"), number("WARC-Refers-To-Page-ID").alias("refers_to"), field("WARC-Target-URI").alias("url"), F.substring(field("WARC-Payload-Digest"), 6, 32).alias("header_digest"),
