@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, maybe_broadcast, text_of
+from .common import materialize, maybe_broadcast, packed, text_of
 
 BITS = 60
 #: Bits by which the directory deepens in one pass over the sums.
@@ -53,8 +53,13 @@ def _directory(rows: DataFrame, limit_bytes: int) -> DataFrame:
 
 def shard(docs: DataFrame, limit_bytes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: key, ``shard`` (the prefix as a string of bits), ``part``, ``depth``, ``n_bytes``, ``shard_bytes`` (of all parts), ``oversize``."""
-    rows = docs.select(F.col(key).alias("__key"), hash_bits(F.col(key), text_of(text)).alias("__bits"), F.octet_length(text_of(text)).cast("long").alias("n_bytes"))
-    rows = materialize(rows.withColumn("__uid", F.monotonically_increasing_id()), "shard-rows")
+    out = _placed(docs.select(F.col(key).alias("__key"), text_of(text).alias("__text"), F.monotonically_increasing_id().alias("__uid")), limit_bytes)
+    return out.select(F.col("__key").alias(key), "shard", "part", "depth", "n_bytes", "shard_bytes", "oversize")
+
+
+def _placed(docs: DataFrame, limit_bytes: int) -> DataFrame:
+    """(__uid, __key, shard, part, depth, n_bytes, shard_bytes, oversize), one for each __uid of ``docs``: __key, __text, __uid."""
+    rows = materialize(docs.select("__key", hash_bits(F.col("__key"), F.col("__text")).alias("__bits"), F.octet_length("__text").cast("long").alias("n_bytes"), "__uid"), "shard-rows")
     found = _directory(rows, limit_bytes)
     steps = sorted(r["at"] for r in found.select("at").distinct().collect())  # BITS / STEP rows at most
     placed = rows
@@ -70,10 +75,14 @@ def shard(docs: DataFrame, limit_bytes: int, key: str = "doc_id", text: str = "t
     cut = placed.where(alike).withColumn("part", F.shiftleft(source, 32) + F.floor(turn / each))
     placed = placed.where(~F.coalesce(alike, F.lit(False))).withColumn("part", F.lit(0).cast("long")).unionByName(cut)
     label = F.when(F.col("__s.depth") == 0, F.lit("")).otherwise(F.lpad(F.bin("__s.prefix"), F.col("__s.depth"), F.lit("0")))
-    return placed.select(F.col("__key").alias(key), label.alias("shard"), "part", F.col("__s.depth").cast("int").alias("depth"), "n_bytes", F.col("__s.shard_bytes").alias("shard_bytes"), (F.col("n_bytes") > limit_bytes).alias("oversize"))
+    return placed.select("__uid", "__key", label.alias("shard"), "part", F.col("__s.depth").cast("int").alias("depth"), "n_bytes", F.col("__s.shard_bytes").alias("shard_bytes"), (F.col("n_bytes") > limit_bytes).alias("oversize"))
 
 
 def write_shards(docs: DataFrame, path: str, limit_bytes: int, key: str = "doc_id", text: str = "text") -> None:
-    """Write the rows, by shard, as Parquet folders ``shard=<bits>``: one exchange by shard."""
-    ids = shard(docs.select(key, text), limit_bytes, key, text).groupBy(key).agg(F.min_by(F.struct("shard", "part"), "shard").alias("__at"))
-    docs.join(ids, key).select(*docs.columns, "__at.shard", "__at.part").repartition("shard", "part").write.partitionBy("shard", "part").parquet(path)
+    """Write the rows, by shard and part, as Parquet folders ``shard=<bits>/part=<number>``: each row goes where ``shard`` puts it.
+
+    The rows are written once with a number of their own, by which they meet their places: keys may be null or repeated.
+    """
+    rows = materialize(packed(docs, F.col(key).alias("__key"), F.monotonically_increasing_id().alias("__uid")), "shard-docs")
+    placed = _placed(rows.select("__key", text_of(f"__row.`{text}`").alias("__text"), "__uid"), limit_bytes).select("__uid", "shard", "part")
+    rows.join(placed, "__uid").select("__row.*", "shard", "part").repartition("shard", "part").write.partitionBy("shard", "part").parquet(path)
