@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: A side is broadcast only after it was counted and found to have no more rows than this.
 BROADCAST_ROWS = 20_000
+#: Most keys that can hold a share of 1 / HOT of all rows each.
+HOT = 1000
 #: Stands for a null id, so that null ids join and sort first.
 NULL_ID = -(1 << 63)
 
@@ -52,6 +54,18 @@ def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def join_hot(rows: DataFrame, side: DataFrame, on: str, weight: str) -> DataFrame:
+    """``rows`` joined with ``side`` (one row a key, ``weight``: how many rows have it); ``weight`` is dropped.
+
+    Keys with a thousandth of all weight or more, of which there are at most HOT, go to every task, so none of them gathers in one;
+    the others are shuffled.
+    """
+    total = side.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) * HOT >= total
+    heavy, rest = F.broadcast(side.where(hot).drop(weight)), side.where(~hot).drop(weight)
+    return rows.join(heavy, on).unionByName(rows.join(rest, on))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` over ``value`` evaluated once, inside one expression."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -78,7 +92,11 @@ def unpacked(df: DataFrame) -> DataFrame:
     return df.select("__row.*")
 
 
-def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of at most so many rows: a batch of whole texts has to fit a Python worker several times over."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession, rows: int = 500, size: str = "16m") -> None:
+    """Arrow batches of at most so many rows and bytes (one row at least): a batch of whole texts has to fit a Python worker several
+    times over. A session that sets smaller ones keeps them."""
+    for key, most in (("maxRecordsPerBatch", str(rows)), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{key}"
+        now = int(spark.conf.get(name).rstrip("bB")) if spark.conf.get(name).rstrip("bB").lstrip("-").isdigit() else 0
+        if key == "maxRecordsPerBatch" and not 0 < now <= rows or key == "maxBytesPerBatch" and spark.conf.get(name) != most:
+            spark.conf.set(name, most)
