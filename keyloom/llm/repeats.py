@@ -20,7 +20,6 @@ ids come before all others. Null or empty texts, and texts below W units, lose n
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import bounded_batches, id_back, id_of, materialize, new_path, text_of
+from .common import bounded_batches, bucketed, id_back, id_of, materialize, text_of
 
 #: Bytes of distinct segments indexed at once, and the most distinct segments of one anchor that are.
 BLOCK_BYTES = 2_000_000
@@ -207,8 +206,8 @@ def _whole_windows(unit: str, window: int):
     return run
 
 
-def _later_windows(docs: DataFrame, unit: str, window: int, k: int, index: Index) -> tuple[DataFrame, DataFrame]:
-    """(id, h, lo, n): runs of windows that start elsewhere earlier; and the texts they can be in, a table bucketed by key."""
+def _later_windows(docs: DataFrame, unit: str, window: int, k: int, index: Index) -> tuple[DataFrame, DataFrame, Callable[[], None]]:
+    """(id, h, lo, n): runs of windows that start elsewhere earlier; the texts they can be in, a table bucketed by key; and what drops it."""
     spark = docs.sparkSession
     keys = "id long, h long, "
     found = docs.select("key", "text").mapInPandas(_find_anchors(unit, window, k), "a long, key int, p int, known boolean, sure boolean")
@@ -217,10 +216,8 @@ def _later_windows(docs: DataFrame, unit: str, window: int, k: int, index: Index
     often = found.withColumn("deal", deal).drop("a").withColumn("c", times).where("known or sure or c > 1")
     places = often.groupBy("key").agg(F.collect_set("p").alias("places"))
     # Texts move once: by key, into buckets that the later joins read where they are.
-    buckets, name = int(spark.conf.get("spark.sql.shuffle.partitions")), f"repeats_{uuid.uuid4().hex}"
-    near = docs.repartition(buckets, "key").join(places, "key").dropDuplicates(["key", "id", "h"])
-    near.write.bucketBy(buckets, "key").option("path", new_path(spark, "repeat-texts")).option("compression", "zstd").saveAsTable(name)
-    texts = spark.table(name)
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    texts, drop = bucketed(docs.repartition(buckets, "key").join(places, "key").dropDuplicates(["key", "id", "h"]), "repeat_texts", "key")
     segs = texts.select("id", "h", "text", "places").mapInPandas(_note_segments(unit, window, k), "a long, s long, " + keys + "lo int, n int, o int, known boolean")
     place = F.struct("id", "h", "lo")
     first = F.min(place).over(Window.partitionBy("deal", "a", "known"))
@@ -238,7 +235,7 @@ def _later_windows(docs: DataFrame, unit: str, window: int, k: int, index: Index
     wide = split.where(F.col("g") > BLOCK_SEGMENTS).mapInPandas(_whole_windows(unit, window), "w binary, " + keys + "lo int").select("id", "h", "lo", F.xxhash64("w").alias("w1"), F.xxhash64(F.lit(1), "w").alias("w2"))
     first = wide.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
     common = wide.join(first, ["w1", "w2"]).where(place != F.col("first")).select("id", "h", "lo", F.lit(1).alias("n"))
-    return again.unionByName(blocks).unionByName(common), texts
+    return again.unionByName(blocks).unionByName(common), texts, drop
 
 
 def _remove(unit: str, window: int):
@@ -267,11 +264,12 @@ def remove_repeats(docs: DataFrame, unit: str, window: int, k: int, index: Index
     """One row per row: doc_id, n, n_removed, n_spans, kept_sha256 and, if asked for, the kept text (bytes that are no UTF-8 after the cut are replaced there)."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(id_of().alias("id"), text_of().alias("text")).withColumn("h", F.xxhash64("text"))
-    later, texts = _later_windows(rows.select(F.hash("id", "h").alias("key"), "id", "h", "text"), unit, window, k, index)
+    later, texts, drop = _later_windows(rows.select(F.hash("id", "h").alias("key"), "id", "h", "text"), unit, window, k, index)
     packed = F.shiftleft(F.col("lo").cast("long"), 32).bitwiseOR(F.col("n").cast("long"))
     runs = later.groupBy(F.hash("id", "h").alias("key"), F.col("id").alias("of"), F.col("h").alias("of_h")).agg(F.collect_list(packed).alias("runs"))
     cut = texts.select("key", "id", "h", "text").join(runs, "key").drop("key").mapInPandas(_remove(unit, window), "id long, h long, gone long, spans long, sha string, kept string")
-    cut = cut if with_text else cut.drop("kept")
+    cut = materialize(cut if with_text else cut.drop("kept"), "repeats-cut")
+    drop()
     if unit == "byte":
         whole, n = F.col("text"), F.octet_length("text")
     else:
