@@ -13,13 +13,13 @@ ids sort before all others; control characters in a url are percent-encoded in i
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, id_back, id_of, let, materialize, new_path
+from .common import NULL_ID, bucketed, id_back, id_of, join_hot, let, materialize
 
 #: The base32 alphabet of RFC 4648, and the dates of the records (the input has none).
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -39,15 +39,11 @@ def base32_sha1(payload: Column) -> Column:
 
 @dataclass(frozen=True)
 class Archive:
-    """Names of the two tables: payloads (bucketed by digest) and headers."""
+    """The two tables: payloads (bucketed by digest) and headers; ``drop`` deletes the payloads."""
 
-    spark: SparkSession
-    payload_table: str
+    payloads: DataFrame
     headers: DataFrame
-
-    @property
-    def payloads(self) -> DataFrame:
-        return self.spark.table(self.payload_table)
+    drop: Callable[[], None]
 
     def verified(self) -> DataFrame:
         """Payloads with ``n`` and ``sha1``; one that doesn't hash to its key raises."""
@@ -68,18 +64,19 @@ class Archive:
 
 
 def write_archive(pages: DataFrame, revisit_from: int = 0) -> Archive:
-    spark = pages.sparkSession
     payload = F.encode(F.coalesce(F.col("html").cast("string"), F.lit("")), "UTF-8")
     rows = pages.select(id_of("page_id").alias("pid"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), payload.alias("payload"))
     keyed = rows.withColumn("digest", F.sha2("payload", 256))
     # A payload once by digest: copies go in each task, before the shuffle.
-    name, buckets = f"warc_{uuid.uuid4().hex}", max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    once = keyed.groupBy("digest").agg(F.first("payload").alias("payload"))
-    once.repartition(buckets, "digest").write.bucketBy(buckets, "digest").option("path", new_path(spark, "warc-payloads")).saveAsTable(name)
+    payloads, drop = bucketed(keyed.groupBy("digest").agg(F.first("payload").alias("payload")), "warc_payloads", "digest")
     index = materialize(keyed.select(F.monotonically_increasing_id().alias("uid"), "pid", "url", "digest", F.octet_length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("sha1")), "warc-index")
-    winners = index.groupBy("digest").agg(F.max(F.struct("pid", "uid")).alias("w"))
-    whole = index.join(winners, "digest").withColumn("kind", F.when((F.col("n") < revisit_from) | (F.col("w.uid") == F.col("uid")), F.lit("response")).otherwise(F.lit("revisit")))
-    safe = F.regexp_replace(F.regexp_replace(F.regexp_replace("url", "\r", "%0D"), "\n", "%0A"), "[\\x00-\\x1f\\x7f]", "")
+    winners = materialize(index.groupBy("digest").agg(F.max(F.struct("pid", "uid")).alias("w"), F.count(F.lit(1)).alias("times")), "warc-winners")
+    whole = join_hot(index, winners, "digest", "times").withColumn("kind", F.when((F.col("n") < revisit_from) | (F.col("w.uid") == F.col("uid")), F.lit("response")).otherwise(F.lit("revisit")))
+    # What could end a line, in any reader's eyes, is percent-encoded; other control characters go.
+    safe = F.col("url")
+    for mark in "\r\n\x0b\x0c\x85\u2028\u2029":
+        safe = F.replace(safe, F.lit(mark), F.lit("".join(f"%{x:02X}" for x in mark.encode())))
+    safe = F.regexp_replace(safe, "[\\x00-\\x1f\\x7f]", "")
     line = lambda k, v: F.concat(F.lit(f"{k}: "), v, F.lit(CRLF))
     given = lambda c, k: F.when(F.col(c) != NULL_ID, line(k, F.col(c).cast("string"))).otherwise(F.lit(""))
     revisit = F.col("kind") == "revisit"
@@ -90,7 +87,7 @@ def write_archive(pages: DataFrame, revisit_from: int = 0) -> Archive:
         line("Content-Length", F.when(revisit, F.lit("0")).otherwise(F.col("n").cast("string"))), F.lit(CRLF),
     )
     headers = materialize(whole.select("uid", id_back("pid").alias("page_id"), "url", "digest", "kind", F.encode(header, "UTF-8").alias("header")), "warc-headers")
-    return Archive(spark, name, headers)
+    return Archive(payloads, headers, drop)
 
 
 def parse(records: DataFrame) -> DataFrame:
@@ -100,8 +97,8 @@ def parse(records: DataFrame) -> DataFrame:
     start = end(F.substring("record", 1, 65536))
     at = F.when(start > 0, start).otherwise(end(F.col("record")))
     head = F.decode(F.substring(F.col("record"), F.lit(1), F.col("__at")), "UTF-8")
-    field = lambda k: F.regexp_extract("__head", rf"(?m)^{k}: ([^\r\n]*)\r?$", 1)
-    number = lambda k: F.expr(f"try_cast(nullif(regexp_extract(__head, '(?m)^{k}: ([^\\\\r\\\\n]*)\\\\r?$', 1), '') as bigint)")
+    field = lambda k: F.regexp_extract("__head", rf"(?md)^{k}: ([^\r\n]*)\r?$", 1)
+    number = lambda k: F.expr(f"try_cast(nullif(regexp_extract(__head, '(?md)^{k}: ([^\\\\r\\\\n]*)\\\\r?$', 1), '') as bigint)")
     rows = records.withColumn("__at", at + 3).withColumn("__head", head)
     body = F.substring(F.col("record"), F.col("__at") + 1, number("Content-Length").cast("int"))
     return rows.withColumn("__body", body).select(
@@ -115,8 +112,11 @@ def round_trip(pages: DataFrame, revisit_from: int = 0) -> DataFrame:
     archive = write_archive(pages, revisit_from)
     bad = F.raise_error(F.concat(F.lit("record does not match its digest: "), "digest"))
     first = materialize(parse(archive.records("response")).select("digest", "record_type", "page_id", "refers_to", F.col("body_bytes").alias("payload_bytes"), F.when(F.col("body_digest") == F.col("header_digest"), F.col("body_digest")).otherwise(bad).alias("payload_digest")), "warc-read")
+    archive.drop()  # all payloads have been read back
     sizes = first.groupBy("digest").agg(F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
-    again = parse(archive.records("revisit")).select("digest", "record_type", "page_id", "refers_to", "header_digest").join(sizes, "digest")
+    times = archive.headers.where("kind = 'revisit'").groupBy("digest").agg(F.count(F.lit(1)).alias("times"))
+    again = parse(archive.records("revisit")).select("digest", "record_type", "page_id", "refers_to", "header_digest")
+    again = join_hot(again, materialize(sizes.join(times, "digest"), "warc-sizes"), "digest", "times")
     again = again.withColumn("payload_digest", F.when(F.col("header_digest") == F.col("payload_digest"), F.col("payload_digest")).otherwise(bad))
     cols = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     return first.select(*cols).unionByName(again.select(*cols))
