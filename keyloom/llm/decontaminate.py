@@ -9,13 +9,12 @@ The seeds of a benchmark of at most SEEDS words (counted first) go to every task
 read, without a shuffle. A larger one is joined by seed instead, and only documents that share one are gathered with the item.
 
 Edge cases: null texts are empty; items of fewer than MATCH words can't be told from common speech and match nothing; equal
-item ids are separate items; a document given twice is reported twice.
+item ids are separate items; rows alike are reported each: a document given twice, and an item given twice, four times. Both ways give the
+same rows.
 """
 
 from __future__ import annotations
 
-import heapq
-
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flat
-from .common import bounded_batches, id_back, id_of, packed, text_of, unpacked
+from .common import bounded_batches, id_back, id_of, materialize, packed, text_of, unpacked
 
 MATCH = 5
 COVERAGE = 0.5
@@ -42,36 +41,53 @@ def hashed_words(texts) -> tuple[np.ndarray, np.ndarray]:
     return flat.word_hashes(raw, starts, ends), at
 
 
+class _Free:
+    """Windows of a text whose words are still free, by the hash of any number of words."""
+
+    def __init__(self, words: np.ndarray):
+        self.words, self.taken = words, np.zeros(len(words), bool)
+        self.hashed: dict[int, np.ndarray] = {}
+
+    def windows(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place, hash) of the free windows of n words."""
+        if n not in self.hashed:
+            self.hashed[n] = flat.run_hashes(self.words, n)
+        before = np.concatenate([[0], np.cumsum(self.taken)])
+        at = np.flatnonzero(before[n:] == before[:-n])
+        return at, self.hashed[n][at]
+
+
 def tiles(doc: np.ndarray, item: np.ndarray, match: int = MATCH) -> list[tuple[int, int, int]]:
-    """(place in doc, place in item, length): greedy tiling, longest first; ties go to the earlier place in the item, then the document."""
-    d, t = flat.run_hashes(doc, match), flat.run_hashes(item, match)
-    turn = np.argsort(d, kind="stable")
-    lo, hi = np.searchsorted(d[turn], t, "left"), np.searchsorted(d[turn], t, "right")
-    j = np.repeat(np.arange(len(t)), hi - lo)
-    if not len(j):
-        return []
-    i = turn[np.concatenate([np.arange(a, b) for a, b in zip(lo, hi) if b > a])]
-    # Seeds next to each other on a diagonal are one run.
-    order = np.lexsort((j, i - j))
-    i, j = i[order], j[order]
-    new = np.ones(len(i), bool)
-    new[1:] = (i[1:] - j[1:] != i[:-1] - j[:-1]) | (j[1:] != j[:-1] + 1)
-    heads = np.flatnonzero(new)
-    size = np.diff(np.append(heads, len(i))) + match - 1
-    heap = [(-int(n), int(b), int(a)) for n, a, b in zip(size, i[heads], j[heads])]
-    heapq.heapify(heap)
-    in_doc, in_item, out = np.zeros(len(doc), bool), np.zeros(len(item), bool), []
-    while heap:
-        n, b, a = heapq.heappop(heap)
-        taken = in_doc[a : a - n] | in_item[b : b - n]
-        if not taken.any():
-            in_doc[a : a - n] = in_item[b : b - n] = True
-            out.append((a, b, -n))
-            continue
-        free = np.flatnonzero(np.diff(np.concatenate([[0], ~taken, [0]]).astype(int)))
-        for x, y in zip(free[::2].tolist(), free[1::2].tolist()):
-            if y - x >= match:
-                heapq.heappush(heap, (x - y, b + x, a + x))
+    """(place in doc, place in item, length): greedy tiling, longest first; ties go to the earlier place in the item, then the document.
+
+    The longest common run of free words is found by halving its length, with running Karp-Rabin hashes of each length that is tried
+    (a common run of n words has one of n - 1); lengths only fall from tile to tile. So a round costs the words of both, times the
+    logarithm of the item's: no pairs of places are made, whatever repeats in either.
+    """
+    d, t, out = _Free(doc), _Free(item), []
+    longest = min(len(doc), len(item))
+
+    def common(n: int) -> tuple[int, int] | None:
+        (i, x), (j, y) = d.windows(n), t.windows(n)
+        hit = np.flatnonzero(np.isin(y, x))
+        if not len(hit):
+            return None
+        return int(i[np.argmax(x == y[hit[0]])]), int(j[hit[0]])
+
+    while longest >= match:
+        found = common(longest)
+        if found is None:
+            low, high, found = match - 1, longest, None  # a run of low words is there (or match - 1), none of high
+            while high - low > 1:
+                middle = (low + high) // 2
+                at = common(middle)
+                low, high, found = (middle, high, at) if at else (low, middle, found)
+            longest = low
+            if found is None:
+                break
+        a, b = found
+        d.taken[a : a + longest] = t.taken[b : b + longest] = True
+        out.append((a, b, longest))
     return out
 
 
@@ -127,8 +143,8 @@ def _tile_pairs(match: int, least: float):
         for b in batches:
             w, at = hashed_words(b["text"])
             v, to = hashed_words(b["item"])
-            out = [(b["id"].iat[i], b["h"].iat[i], b["item_id"].iat[i], *_covered(w[at[i] : at[i + 1]], v[to[i] : to[i + 1]], match)) for i in range(len(b))]
-            out = pd.DataFrame(out, columns=["id", "h", "item_id", "coverage", "n_tiles"])
+            out = [(b["id"].iat[i], b["h"].iat[i], b["item_id"].iat[i], *_covered(w[at[i] : at[i + 1]], v[to[i] : to[i + 1]], match), b["ih"].iat[i]) for i in range(len(b))]
+            out = pd.DataFrame(out, columns=["id", "h", "item_id", "coverage", "n_tiles", "ih"])
             yield out[out["coverage"] >= least]
 
     return run
@@ -145,11 +161,17 @@ def _leaks(rows: DataFrame, benchmark: DataFrame, match: int, least: float, seed
         got = items.orderBy("item_id", "item").collect()  # within the bound just counted
         w, at = hashed_words([x.item for x in got])
         return rows.mapInPandas(_tile_here([x.item_id for x in got], [w[i:j] for i, j in zip(at, at[1:])], match, least), OUT)
+    # Rows alike count once here and are told apart again at the end, as they are where nothing is joined.
+    doc = rows.groupBy("id", "h").agg(F.count(F.lit(1)).alias("n_docs"))
     keyed = items.withColumn("ih", F.xxhash64("item"))
-    grams = keyed.select(F.col("item_id").alias("id"), F.col("ih").alias("h"), F.col("item").alias("text")).mapInPandas(_seeds(match), "g long, id long, h long").select("g", F.col("id").alias("item_id"), F.col("h").alias("ih"))
-    pairs = rows.mapInPandas(_seeds(match), "g long, id long, h long").join(grams, "g").select("id", "h", "item_id", "ih").distinct()
-    both = pairs.join(rows.dropDuplicates(["id", "h"]), ["id", "h"]).join(keyed.dropDuplicates(["item_id", "ih"]), ["item_id", "ih"])
-    return both.mapInPandas(_tile_pairs(match, least), OUT)
+    item = keyed.groupBy("item_id", "ih").agg(F.first("item").alias("item"), F.count(F.lit(1)).alias("n_items"))
+    grams = item.select(F.col("item_id").alias("id"), F.col("ih").alias("h"), F.col("item").alias("text")).mapInPandas(_seeds(match), "g long, id long, h long").select("g", F.col("id").alias("item_id"), F.col("h").alias("ih"))
+    # A seed that very many texts hold is dealt over tasks by skew joins: neither side is an aggregate.
+    pairs = rows.mapInPandas(_seeds(match), "g long, id long, h long").join(materialize(grams, "seeds"), "g").select("id", "h", "item_id", "ih").distinct()
+    both = materialize(pairs, "seed-pairs").join(rows.dropDuplicates(["id", "h"]), ["id", "h"]).join(item.drop("n_items"), ["item_id", "ih"])
+    found = materialize(both.mapInPandas(_tile_pairs(match, least), OUT + ", ih long"), "leaks")
+    times = found.join(doc, ["id", "h"]).join(item.drop("item"), ["item_id", "ih"]).withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_docs") * F.col("n_items"))))
+    return times.select(*[c.split()[0] for c in OUT.split(", ")])
 
 
 def _rows(docs: DataFrame) -> DataFrame:
