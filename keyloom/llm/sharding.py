@@ -78,11 +78,20 @@ def _placed(docs: DataFrame, limit_bytes: int) -> DataFrame:
     return placed.select("__uid", "__key", label.alias("shard"), "part", F.col("__s.depth").cast("int").alias("depth"), "n_bytes", F.col("__s.shard_bytes").alias("shard_bytes"), (F.col("n_bytes") > limit_bytes).alias("oversize"))
 
 
-def write_shards(docs: DataFrame, path: str, limit_bytes: int, key: str = "doc_id", text: str = "text") -> None:
-    """Write the rows, by shard and part, as Parquet folders ``shard=<bits>/part=<number>``: each row goes where ``shard`` puts it.
+def write_shards(docs: DataFrame, path: str, limit_bytes: int, key: str = "doc_id", text: str = "text") -> tuple[str, str]:
+    """Write the rows, by shard and part, as Parquet folders ``shard=b<bits>/part=<number>``: each row goes where ``shard`` puts it.
 
-    The rows are written once with a number of their own, by which they meet their places: keys may be null or repeated.
+    The rows are written once with a number of their own, by which they meet their places: keys may be null or repeated. The bits follow
+    a letter, so that no reader takes them for a number. Returns the names of the two folder columns: a table with columns
+    of these names keeps them, and the folders' get an underscore more.
     """
+    names = []
+    for name in ("shard", "part"):
+        while name.lower() in map(str.lower, docs.columns):
+            name += "_"
+        names.append(name)
     rows = materialize(packed(docs, F.col(key).alias("__key"), F.monotonically_increasing_id().alias("__uid")), "shard-docs")
-    placed = _placed(rows.select("__key", text_of(f"__row.`{text}`").alias("__text"), "__uid"), limit_bytes).select("__uid", "shard", "part")
-    rows.join(placed, "__uid").select("__row.*", "shard", "part").repartition("shard", "part").write.partitionBy("shard", "part").parquet(path)
+    placed = _placed(rows.select("__key", text_of(f"__row.`{text}`").alias("__text"), "__uid"), limit_bytes)
+    placed = placed.select("__uid", F.concat(F.lit("b"), "shard").alias(names[0]), F.col("part").alias(names[1]))
+    rows.join(placed, "__uid").select("__row.*", *names).repartition(*names).write.partitionBy(*names).parquet(path)
+    return names[0], names[1]
