@@ -2,11 +2,12 @@
 
 Three base kinds are found by patterns. The method then looks at further candidates, tokens of 24 or more characters
 with digits and both cases: their hashes (and those of the base matches) are counted over the whole corpus by distinct
-repositories and distinct owners. A value that occurs in more than ``copied`` owners is a widely copied example; one that
-few own is live-looking, and such candidates are added as spans of kind ``owned``. Base spans always stay.
+repositories and distinct owners. A value that more than ``copied`` owners have, or more than ``spread`` repositories, is a widely copied
+example; any other is owner-specific and live-looking, and such candidates are added as spans of kind ``owned``. Base spans always stay.
 
 Repository and owner are expressions over the row; by default both come from ``source`` (repository: source and language).
-Counting first reduces each value to distinct owners in every task, so a value that a third of all rows hold stays cheap.
+Counting first reduces each value to distinct owners in every task, and the verdicts of the commonest values go to every task, so a
+value that a third of all rows hold stays cheap.
 
 Edge cases: null text is empty and has no spans; null source is an owner of its own; a document given twice counts its
 owner once; candidates that overlap a base span are left to it; offsets are in code points, ends exclusive.
@@ -14,37 +15,66 @@ owner once; candidates that overlap a base span are left to it; offsets are in c
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialize, text_of
+from .common import join_hot, let, materialize, text_of
 
 #: The base patterns, and the shortest match of each that counts.
 ASSIGN = r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 ASSIGN_LENGTH = 12
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]*[0-9])(?=[A-Za-z0-9+/_-]*[a-z])(?=[A-Za-z0-9+/_-]*[A-Z])[A-Za-z0-9+/_-]{24,}"
+#: Stands for characters of base spans when candidates are looked for; a private-use character that texts don't use.
+MARK = "\ue000"
+CANDIDATE = rf"(?<![A-Za-z0-9+/_{MARK}-])(?=[A-Za-z0-9+/_{MARK}-]*[0-9])(?=[A-Za-z0-9+/_{MARK}-]*[a-z])(?=[A-Za-z0-9+/_{MARK}-]*[A-Z])[A-Za-z0-9+/_{MARK}-]{{24,}}"
 KINDS = ("assign", "access", "hex", "owned")
 
 
-def _matches(t: Column, pattern: str) -> Column:
-    """All leftmost matches as array<struct<s, e, m>>: gaps between matches (split) and matches give the places."""
-    found, gaps = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
+def _pieces(t: Column, pattern: str) -> Column:
+    """The text as array<struct<g, m>>: each match m and the gap g before it; last the gap after all, with a null match."""
+    return F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda g, m: F.struct(g.alias("g"), m.alias("m")))
+
+
+def _places(pieces: Column) -> Column:
+    """array<struct<s, e, m>> of the matches. Places are summed up within runs of about as many pieces as there are runs, then over
+    the runs, so the work grows with the matches times the root of their number, not with their square."""
+    empty = F.array().cast("array<struct<s:int,e:int,m:string>>")
+    length = lambda p: F.length(p["g"]) + F.coalesce(F.length(p["m"]), F.lit(0))
+
+    def step(a: Column, p: Column) -> Column:
+        s = a["at"] + F.length(p["g"])
+        return F.struct((a["at"] + length(p)).alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), (a["at"] + length(p)).alias("e"), p["m"].alias("m")))).alias("out"))
 
-    def places(x: Column) -> Column:
-        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
+    def run(x: Column) -> Column:
+        begin = F.struct(x["at"].alias("at"), empty.alias("out"))
+        return F.aggregate(x["ps"], begin, step, lambda a: a["out"])
 
-        def step(a: Column, p: Column) -> Column:
-            s = a["at"] + F.length(p["g"])
-            e = s + F.length(p["m"])
-            return F.struct(e.alias("at"), F.concat(a["out"], F.array(F.struct(s.alias("s"), e.alias("e"), p["m"].alias("m")))).alias("out"))
+    def begins(runs: Column) -> Column:
+        """The place where each run starts."""
+        sizes = F.transform(runs, lambda ps: F.aggregate(ps, F.lit(0), lambda a, p: a + length(p)))
+        return F.aggregate(sizes, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+
+    def whole(ps: Column) -> Column:
+        each = F.greatest(F.ceil(F.sqrt(F.size(ps))).cast("int"), F.lit(1))
+        runs = F.transform(F.sequence(F.lit(0), F.ceil(F.size(ps) / each).cast("int") - 1), lambda i: F.slice(ps, i * each + 1, each))
+        joined = lambda rs: F.transform(F.filter(F.arrays_zip(rs.alias("ps"), begins(rs).alias("at")), lambda x: x["ps"].isNotNull()), run)
+        return F.filter(F.flatten(let(runs, joined)), lambda x: x["m"].isNotNull())
+
+    return F.when(F.size(pieces) < 2, empty).otherwise(let(pieces, whole))
+
+
+def _matches(t: Column, pattern: str) -> Column:
+    """All leftmost matches as array<struct<s, e, m>>."""
+    return F.when(t.rlike(pattern), _places(_pieces(t, pattern))).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
 
-        pairs = F.zip_with(x["g"], x["m"], lambda g, m: F.struct(g.alias("g"), m.alias("m")))
-        return F.aggregate(F.filter(pairs, lambda p: p["m"].isNotNull()), start, step, lambda a: a["out"])
 
-    none = F.array().cast("array<struct<s:int,e:int,m:string>>")
-    return F.when(t.rlike(pattern), let(F.struct(found.alias("m"), gaps.alias("g")), places)).otherwise(none)
+def _marked(t: Column, pattern: str, counts: Callable[[Column], Column]) -> Column:
+    """``t`` with MARK instead of each character of the matches that count."""
+    shown = lambda p: F.concat(p["g"], F.when(p["m"].isNull(), "").when(counts(p["m"]), F.repeat(F.lit(MARK), F.length(p["m"]))).otherwise(p["m"]))
+    return F.when(t.rlike(pattern), F.array_join(F.transform(_pieces(t, pattern), shown), "")).otherwise(t)
 
 
 def _kind(spans: Column, order: int) -> Column:
@@ -61,28 +91,33 @@ def scan_spans(docs: DataFrame, repo: Column | None = None, owner: Column | None
     t = text_of()
     source = F.coalesce(F.col("source").cast("string"), F.lit("")) if owner is None or repo is None else None
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if repo is None else None
-    assign = F.filter(_matches(t, ASSIGN), lambda x: F.length(F.regexp_extract(x["m"], ASSIGN, 2)) >= ASSIGN_LENGTH)
-    rows = docs.select(
+    long = lambda m: F.length(F.regexp_extract(m, ASSIGN, 2)) >= ASSIGN_LENGTH
+    assign = F.filter(_matches(t, ASSIGN), lambda x: long(x["m"]))
+    # Candidates that overlap a base span hold a mark; the places of all others stay.
+    marked = _marked(_marked(_marked(t, ASSIGN, long), ACCESS, lambda m: F.lit(True)), HEX, lambda m: F.lit(True))
+    cand = F.filter(_matches(marked, CANDIDATE), lambda x: ~F.contains(x["m"], F.lit(MARK)))
+    return docs.select(
         "doc_id", F.xxhash64(source if owner is None else owner).alias("__owner"), F.xxhash64(F.concat_ws("\n", source, lang) if repo is None else repo).alias("__repo"),
-        F.concat(_kind(assign, 0), _kind(_matches(t, ACCESS), 1), _kind(_matches(t, HEX), 2)).alias("base"), _kind(_matches(t, CANDIDATE), 3).alias("cand"),
+        F.concat(_kind(assign, 0), _kind(_matches(t, ACCESS), 1), _kind(_matches(t, HEX), 2)).alias("base"), _kind(cand, 3).alias("cand"),
     )
-    apart = F.filter("cand", lambda c: ~F.exists("base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"])))
-    return rows.withColumn("cand", apart)
 
 
 def ownership(spans: DataFrame) -> DataFrame:
-    """(h, n_owners, n_repos) over the whole corpus: distinct pairs first, then counts."""
-    each = spans.select("__owner", "__repo", F.explode(F.array_distinct(F.transform(F.concat("base", "cand"), lambda x: x["h"]))).alias("h"))
-    per_repo = each.groupBy("h", "__owner", "__repo").agg(F.lit(1).alias("one")).groupBy("h", "__owner").agg(F.count(F.lit(1)).alias("r"))
-    return per_repo.groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("r").alias("n_repos"))
+    """(h, n_owners, n_repos, times) over the whole corpus: places by owner and repository first, then counts."""
+    each = spans.select("__owner", "__repo", F.explode(F.transform(F.concat("base", "cand"), lambda x: x["h"])).alias("h"))
+    per_repo = each.groupBy("h", "__owner", "__repo").agg(F.count(F.lit(1)).alias("t"))
+    per_owner = per_repo.groupBy("h", "__owner").agg(F.count(F.lit(1)).alias("r"), F.sum("t").alias("t"))
+    return per_owner.groupBy("h").agg(F.count(F.lit(1)).alias("n_owners"), F.sum("r").alias("n_repos"), F.sum("t").alias("times"))
 
 
-def find_secrets(docs: DataFrame, copied: int = 2, repo: Column | None = None, owner: Column | None = None) -> DataFrame:
-    """One row per document: base counts and digest, all spans, and how many are owner-specific (``n_live``) or copied (``n_copied``)."""
+def find_secrets(docs: DataFrame, copied: int = 2, spread: int = 4, repo: Column | None = None, owner: Column | None = None) -> DataFrame:
+    """One row per document: base counts and digest, all spans, and how many are owner-specific (``n_live``) or copied (``n_copied``):
+    found with more than ``copied`` owners or in more than ``spread`` repositories."""
     spans = materialize(scan_spans(docs, repo, owner).withColumn("__uid", F.monotonically_increasing_id()), "secret-spans")
-    counts = ownership(spans)
-    each = spans.select("__uid", F.explode(F.concat("base", "cand")).alias("x"))
-    judged = each.join(counts, F.col("x.h") == counts["h"]).select("__uid", "x", (F.col("n_owners") <= copied).alias("live"))
+    live = (F.col("n_owners") <= copied) & (F.col("n_repos") <= spread)
+    counts = materialize(ownership(spans).select("h", live.alias("live"), "times"), "ownership")
+    each = spans.select("__uid", F.explode(F.concat("base", "cand")).alias("x")).withColumn("h", F.col("x.h"))
+    judged = join_hot(each, counts, "h", "times")
     per_row = judged.groupBy("__uid").agg(
         F.collect_list(F.when(F.col("live") & (F.col("x.k") == 3), F.col("x"))).alias("__owned"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_copied")
     )
