@@ -4,7 +4,8 @@ Each rule scores a document; documents above the rule's cutoff are rejected. Cut
 holdout: for every stratum (language), rule and cutoff of a fixed grid, the exact binomial test
 ``P(Bin(n, alpha) <= k)`` says whether at most ``alpha`` of the good documents are rejected, k of n having been.
 The error ``delta`` is divided by the number of all tests (Bonferroni) and ``alpha`` by the number of rules, so with
-probability ``1 - delta`` no stratum loses more than ``alpha`` of its good documents. Among the cutoffs that hold,
+probability ``1 - delta`` no stratum loses more than ``alpha`` of its good documents that pass the base rules (which are fixed and
+reject what they reject). Among the cutoffs that hold,
 the one that rejects most bad documents is taken; a rule for which none holds, or that rejects nothing bad, is off.
 
 Edge cases: null text is empty (0 words, base_failed, not kept); null language is a stratum of its own; labels of
@@ -16,7 +17,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import let, materialize, maybe_broadcast, packed, text_of, unpacked
@@ -127,10 +128,12 @@ def fit_cutoffs(featured: DataFrame, labels: DataFrame, risk: Risk = Risk(), str
     counts = rows.join(lab, "__id").groupBy("__s").agg(
         F.count_if(F.col("__good") == 1).alias("n"), *[hit(1, r, c).alias(f"k_{x}") for r, c, x in grid], *[hit(0, r, c).alias(f"b_{x}") for r, c, x in grid]
     )
+    counts = materialize(counts, "strata")
+    tests = counts.count() * len(grid)
     cell = lambda r, c, x: F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"k_{x}").alias("k"), F.col(f"b_{x}").alias("b"))
-    cells = counts.withColumn("__m", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) * len(grid)).select("__s", "n", "__m", F.explode(F.array(*[cell(*g) for g in grid])).alias("c"))
+    cells = counts.select("__s", "n", F.explode(F.array(*[cell(*g) for g in grid])).alias("c"))
     p = binomial_tail(F.col("c.k"), F.col("n"), risk.alpha / len(GRIDS))
-    good = cells.where((F.col("n") > 0) & (F.col("c.b") > 0) & (p * F.col("__m") <= risk.delta))
+    good = cells.where((F.col("n") > 0) & (F.col("c.b") > 0) & (p * tests <= risk.delta))
     best = good.groupBy("__s", F.col("c.rule").alias("rule")).agg(F.max(F.struct(F.col("c.b"), F.col("c.cutoff"))).alias("best"))
     return best.groupBy("__s").agg(F.map_from_entries(F.collect_list(F.struct(F.col("rule"), F.col("best.cutoff")))).alias("__cutoffs"))
 
@@ -154,7 +157,11 @@ def quality_report(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> D
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: Risk = Risk()) -> DataFrame:
-    """The documents that pass, with all their columns; texts are read twice and never shuffled."""
-    f = materialize(features(docs.select("doc_id", "text", "lang")).drop("text"), "quality")
-    cutoffs = materialize(fit_cutoffs(f, labels, risk), "cutoffs")
-    return unpacked(with_verdict(features(packed(docs, F.col("text"), F.col("lang"))), cutoffs).where("__kept"))
+    """The documents that pass, with all their columns. Features, the dear part, are taken once; the texts then meet the narrow keys of
+    rejected rows."""
+    key = [F.col("doc_id"), F.xxhash64(text_of(), F.coalesce(F.col("lang").cast("string"), F.lit(""))).alias("__h")]
+    f = materialize(features(docs.select(*key, "text", "lang")).drop("text"), "quality")
+    judged = with_verdict(f, materialize(fit_cutoffs(f, labels, risk), "cutoffs"))
+    bad = judged.where("not __kept").select(F.col("doc_id").alias("__id"), F.col("__h").alias("__bad")).distinct()
+    same = F.col("__of").eqNullSafe(F.col("__id")) & (F.col("__h") == F.col("__bad"))
+    return unpacked(packed(docs, key[0].alias("__of"), key[1]).join(bad, same, "left_anti"))
