@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Iterable
+from decimal import Decimal
 from functools import reduce
 from typing import Any
 
@@ -23,6 +24,8 @@ KINDS: dict[str, Predicate] = {}
 COMPLEMENTS = {"NotInSet": "InSet", "YearNotIn": "YearIn"}
 #: What `not` before a leaf turns its operator into; all others have no direct negation.
 NEGATIONS: dict[str, str] = {}
+#: Operators that compare text by a policy if they are given one.
+ORDERED = {"EqualTo", "NotEqualTo", "GreaterThan", "GreaterOrEqual", "LessThan", "LessOrEqual", "Between", "NotBetween"}
 
 
 def kind(name: str, negation: str | None = None) -> Callable[[Predicate], Predicate]:
@@ -51,6 +54,8 @@ def _any(conditions: Iterable[Column]) -> Column:
 def _lit(v: Any, t: T.DataType) -> Column:
     if isinstance(v, Column):
         return v
+    if isinstance(v, int) and abs(v) >= 1 << 63:
+        v = Decimal(v)
     return F.lit(v).cast(t) if isinstance(t, (T.TimestampNTZType, T.TimestampType, T.DateType, T.DecimalType)) else F.lit(v)
 
 
@@ -156,10 +161,23 @@ def compare_transformed(k: Column, t: T.DataType, how: str, digits: int, name: s
 # Text and binary patterns --------------------------------------------------------------------------------------------
 
 
-def _fold(k: Column, v: Any, policy: str) -> tuple[Column, Any]:
+def folded(policy: str | Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """What a policy compares instead of the text: ``ordinal`` (itself), ``ignore_case``, ``invariant_ignore_case``, ``unicode_ci``,
+    ``normalized`` (NFC), ``sort_key`` (Unicode's order), ``culture:<locale>`` with a collation such as ``de_CI``, or a function of the key."""
+    if callable(policy):
+        return policy
+    if policy.startswith("culture:"):
+        return lambda c: F.collate(c, policy[8:])
+    return {
+        "ordinal": lambda c: c, "ignore_case": F.lower, "invariant_ignore_case": lambda c: F.collate(c, "UNICODE_CI"), "unicode_ci": lambda c: F.collate(c, "UNICODE_CI"),
+        "normalized": patterns.nfc, "sort_key": lambda c: F.collate(c, "UNICODE"),
+    }[policy]
+
+
+def _fold(k: Column, v: Any, policy: str | Callable[[Column], Column]) -> tuple[Column, Any]:
     if policy == "ordinal":
         return k, v
-    fold = {"ignore_case": lambda c: F.lower(c), "unicode_ci": lambda c: F.collate(c, "UNICODE_CI"), "normalized": patterns.nfc}[policy]
+    fold = folded(policy)
     return fold(k), fold(F.lit(v)) if not isinstance(v, list) else [fold(F.lit(x)) for x in v]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,9 +20,11 @@ def inserted(index: Index, rows: DataFrame) -> DataFrame:
     """Entries with the new ones; an entry that exists already stays one. Contracts are checked on what is new against all."""
     cols = ["identity", *_parts(index)]
     out = index.entries().select(*cols).unionByName(rows.select(*cols)).distinct()
-    for on, wanted in (("key", index.unique), ("identity", index.single_key)):
-        if wanted and not out.join(rows.select(on).distinct(), on, "left_semi").groupBy(on).count().where("count > 1").isEmpty():
-            raise ContractError(f"several entries for one {on}")
+    for what, on, wanted in (("key", _parts(index), index.unique), ("identity", ["identity"], index.single_key)):
+        touched = rows.select(*[F.col(c).alias(f"__{c}") for c in on]).distinct()
+        same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on])
+        if wanted and not out.join(touched, same, "left_semi").groupBy(*on).count().where("count > 1").isEmpty():
+            raise ContractError(f"several entries for one {what}")
     return out
 
 
@@ -48,9 +52,14 @@ def rekeyed_where(index: Index, indexes: IndexSet, condition: Condition, change:
     return e.join(ids, "identity", "left").select("identity", new.alias("key")).distinct()
 
 
-def rekeyed(index: Index, identity: object, new: object, old: object = None) -> DataFrame:
+#: Stands for any old key of an identity.
+ANY = object()
+
+
+def rekeyed(index: Index, identity: object, new: object, old: object = ANY) -> DataFrame:
+    """Entries with a new key (null, too) for an identity: for its old key, if one is given, which may be null."""
     hit = F.col("identity") == F.lit(identity)
-    hit = hit & F.col("key").eqNullSafe(F.lit(old)) if old is not None else hit
+    hit = hit & F.col("key").eqNullSafe(F.lit(old)) if old is not ANY else hit
     e = index.entries()
     return e.withColumn("key", F.when(hit, F.lit(new).cast(e.schema["key"].dataType)).otherwise(F.col("key"))).distinct()
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..plans.compiler import Compiler
@@ -67,12 +68,70 @@ def distinct_keys(index: Index) -> DataFrame:
 
 
 def inverse(indexes: IndexSet, names: list[str], condition: Condition | None = None) -> DataFrame:
-    """(identity, one sorted array of distinct keys for each index), of all identities or those that match."""
-    ids = Compiler(indexes).universe(list(indexes.names())) if condition is None else Compiler(indexes).identities(condition)
+    """(identity, one sorted array of distinct keys for each index), of all identities or those that match.
+
+    Indexes over one table are read in one pass and one aggregation, after the others' identities are gone.
+    """
+    ids = None if condition is None else Compiler(indexes).identities(condition)
+    source = indexes[names[0]].source
+    together = source is not None and all(indexes[n].source is source for n in names)
+    if together:
+        rows = source.select(F.col(indexes[names[0]].identity).alias("identity"), *[F.col(indexes[n].column).alias(n) for n in names])
+        rows = rows if ids is None else rows.join(ids, "identity", "left_semi")
+        keys = rows.groupBy("identity").agg(*[F.sort_array(F.collect_set(n)).alias(n) for n in names])
+        asked = list(indexes.names()) if condition is None else condition.indexes()
+        if asked and all(i in indexes and indexes[i].source is source for i in asked):
+            return keys  # every identity has a row in the table
+        return (Compiler(indexes).universe(list(indexes.names())) if ids is None else ids).join(keys, "identity", "left")
+    out = Compiler(indexes).universe(list(indexes.names())) if ids is None else ids
     for n in names:
-        keys = indexes[n].entries().groupBy("identity").agg(F.sort_array(F.collect_set("key")).alias(n))
-        ids = ids.join(keys, "identity", "left")
-    return ids
+        e = indexes[n].entries() if ids is None else indexes[n].entries().join(ids, "identity", "left_semi")
+        out = out.join(e.groupBy("identity").agg(F.sort_array(F.collect_set("key")).alias(n)), "identity", "left")
+    return out
+
+
+class Inverse:
+    """An inverse map kept as a table: made when first read (or by ``rebuild``), read until it is dropped."""
+
+    def __init__(self, indexes: IndexSet, names: list[str], path: str):
+        self.indexes, self.names, self.path = indexes, list(names), path
+        self._made = False
+
+    def include(self, name: str) -> None:
+        """One index more; the table is made anew when next read."""
+        if name not in self.names:
+            self.names.append(name)
+            self._made = False
+
+    def rebuild(self) -> None:
+        inverse(self.indexes, self.names).write.mode("overwrite").parquet(self.path)
+        self._made = True
+
+    def read(self) -> DataFrame:
+        if not self._made:
+            self.rebuild()
+        any_index = self.indexes[self.names[0]].entries()
+        return any_index.sparkSession.read.parquet(self.path)
+
+    def keys_of(self, identity: object) -> DataFrame:
+        return self.read().where(F.col("identity") == F.lit(identity))
+
+    def validate(self) -> bool:
+        """Whether the table still says what the indexes say."""
+        now, kept = inverse(self.indexes, self.names), self.read()
+        return now.exceptAll(kept).isEmpty() and kept.exceptAll(now).isEmpty()
+
+    def drop(self) -> None:
+        if self._made:
+            spark = self.read().sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(self.path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+            self._made = False
+
+
+def visit(index: Index, each: Callable[[Row], None]) -> None:
+    """Call a function for every entry, where the entry is."""
+    index.entries().foreachPartition(lambda rows: [each(r) for r in rows] and None)
 
 
 def full_key(index: Index, delimiter: str, parts: list[str] | None = None, without: list[str] | None = None) -> Column:

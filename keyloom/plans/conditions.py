@@ -85,6 +85,50 @@ class ExternalTest(Condition):
     test: Callable[[Column], Column] = field(compare=False)
 
 
+@dataclass(frozen=True)
+class ExternalKeys(Condition):
+    """A predicate over entries from outside: a DataFrame of identity and key, in this order."""
+
+    entries: DataFrame = field(compare=False)
+    kind: str = "All"
+    args: tuple = ()
+    options: tuple = ()
+
+
+@dataclass(frozen=True)
+class CorrelatedKeys(Condition):
+    """A predicate over keys made for each identity that another condition leaves: a Column function from identity to an array."""
+
+    keys: Callable[[Column], Column] = field(compare=False)
+    kind: str = "All"
+    args: tuple = ()
+    options: tuple = ()
+
+
+@dataclass(frozen=True)
+class OrdinalTest(Condition):
+    """A Column function of (identity, its number in ascending order, if it is the first) over the identities of another condition."""
+
+    test: Callable[[Column, Column, Column], Column] = field(compare=False)
+
+
+class PreparedSet:
+    """Keys for ``in_set`` or ``not_in_set`` that are met in a join instead of written into the plan: a DataFrame's first column, made
+    distinct once and, with ``cached``, kept until ``release``."""
+
+    def __init__(self, keys: DataFrame, cached: bool = False):
+        self.column = keys.columns[0]
+        self.keys = keys.select(self.column).distinct()
+        if cached:
+            self.keys = self.keys.persist()
+
+    def count(self) -> int:
+        return self.keys.count()
+
+    def release(self) -> None:
+        self.keys.unpersist()
+
+
 @dataclass(frozen=True)
 class ByIdentity(Condition):
     """A predicate on the identity itself, over the identities of the set."""
@@ -248,7 +292,7 @@ class Selector:
 
     def exists_any(self, keys: list) -> Condition:
         """Identities that hold any of the keys; no keys: all identities."""
-        return self.in_set(list(keys)) if keys else self.all()
+        return self.in_set(keys if isinstance(keys, PreparedSet) else list(keys)) if keys else self.all()
 
     def exists_all(self, keys: list) -> Condition:
         return self._done(KeysExistAll(self._s[0], tuple(dict.fromkeys(keys)))) if keys else self.all()
@@ -265,3 +309,37 @@ def group(condition: Condition) -> Condition:
 
 def external(ids: DataFrame) -> Condition:
     return External(ids)
+
+
+class ExternalSelector:
+    """Entries from outside, or keys made for each identity, waiting for their operator."""
+
+    def __init__(self, make: type[Condition], source: Any):
+        self._make, self._source = make, source
+
+    def __getattr__(self, name: str) -> Callable[..., Condition]:
+        if name not in METHODS:
+            raise AttributeError(name)
+        return lambda *a, **o: self._make(self._source, METHODS[name], a, tuple(o.items()))
+
+
+def external_keys(entries: DataFrame) -> ExternalSelector:
+    """``external_keys(df).greater_than(5)``: identities of df's entries (identity, key) whose key matches."""
+    return ExternalSelector(ExternalKeys, entries)
+
+
+def correlated_keys(keys: Callable[[Column], Column]) -> ExternalSelector:
+    """``where(...) & correlated_keys(lambda i: F.array(i % 7)).equal_to(3)``: for each identity the keys that a function makes."""
+    return ExternalSelector(CorrelatedKeys, keys)
+
+
+class MultiKey:
+    """Several indexes, selected by their place: ``MultiKey("age", "status").where(0) > 18``."""
+
+    def __init__(self, *indexes: str):
+        self.indexes = indexes
+
+    def where(self, ordinal: int, part: str | None = None) -> Selector:
+        if not 0 <= ordinal < len(self.indexes):
+            raise IndexError(f"no index at {ordinal}")
+        return where(self.indexes[ordinal], part)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .operators import changes, lookups
 from .operators.results import Query
-from .plans.conditions import ByIdentity, CompareKeys, Composite, Condition, Except, ExternalTest, external, where
+from .plans.conditions import ByIdentity, CompareKeys, Composite, Condition, Except, ExternalTest, MultiKey, OrdinalTest, PreparedSet, correlated_keys, external, external_keys, where
 from .sources.catalog import IndexSet
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -26,7 +26,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _set(spark: SparkSession, sf_dir: str, name: str) -> IndexSet:
-    return IndexSet.from_table(_table(spark, sf_dir, name), IDENTITY[name])
+    return IndexSet.from_table(_table(spark, sf_dir, name), IDENTITY[name], unique=True)
 
 
 def _put(name: str, run: Run, sql: str) -> None:
@@ -71,9 +71,9 @@ _filter("ext_test", "part", lambda: where("p_size").greater_than(5) & ExternalTe
 # Text
 _filter("str_starts_with", "part", lambda: where("p_name").starts_with("b"), "starts_with(p_name, 'b')")
 _filter("str_ends_with", "supplier", lambda: where("s_name").ends_with("7"), "suffix(s_name, '7')")
-_filter("str_contains", "part", lambda: where("p_type").contains("STEEL"), "contains(p_type, 'STEEL')")
-_filter("str_not_contains", "part", lambda: where("p_type").not_contains("STEEL"), "not contains(p_type, 'STEEL')")
-_filter("str_no_case", "part", lambda: where("p_type").contains("steel", policy="ignore_case"), "contains(lower(p_type), 'steel')")
+_filter("str_contains", "part", lambda: where("p_type").contains("ROM"), "contains(p_type, 'ROM')")
+_filter("str_not_contains", "part", lambda: where("p_type").not_contains("AR"), "not contains(p_type, 'AR')")
+_filter("str_no_case", "part", lambda: where("p_type").contains("Rom", policy="ignore_case"), "contains(lower(p_type), 'rom')")
 _filter("str_text_equals", "orders", lambda: where("o_orderpriority").text_equals("1-urgent"), "lower(o_orderpriority) = '1-urgent'")
 _filter("str_text_in", "orders", lambda: where("o_orderpriority").text_in_set(["1-urgent", "5-low"]), "lower(o_orderpriority) in ('1-urgent', '5-low')")
 _filter("str_wildcard", "supplier", lambda: where("s_name").like("S*0?"), "regexp_full_match(s_name, 'S.*0.')")
@@ -88,11 +88,11 @@ _filter("str_not_captured_in", "part", lambda: where("p_brand").not_matches_in_s
 _D = "o_orderdate"
 _DATES: dict[str, tuple[Callable[[], Condition], str]] = {
     "year": (lambda: where(_D).year_equal_to(1995), "year(t) = 1995"), "year_not": (lambda: where(_D).year_not_equal_to(1995), "year(t) <> 1995"), "year_in": (lambda: where(_D).year_in([1993, 1996]), "year(t) in (1993, 1996)"),
-    "year_not_in": (lambda: where(_D).year_not_in([1993, 1996]), "year(t) not in (1993, 1996)"), "year_range": (lambda: where(_D).year_range(1993, 1994), "year(t) between 1993 and 1994"), "year_not_range": (lambda: where(_D).year_not_range(1993, 1994), "year(t) not between 1993 and 1994"),
-    "year_from": (lambda: where(_D).year_on_or_after(1996), "year(t) >= 1996"), "year_to": (lambda: where(_D).year_on_or_before(1993), "year(t) <= 1993"), "year_month": (lambda: where(_D).year_month(1995, 12), "year(t) = 1995 and month(t) = 12"),
+    "year_not_in": (lambda: where(_D).year_not_in([1993, 1996]), "year(t) not in (1993, 1996)"), "year_range": (lambda: where(_D).year_range(1996, 1997), "year(t) between 1996 and 1997"), "year_not_range": (lambda: where(_D).year_not_range(1996, 1997), "year(t) not between 1996 and 1997"),
+    "year_from": (lambda: where(_D).year_on_or_after(1996), "year(t) >= 1996"), "year_to": (lambda: where(_D).year_on_or_before(1996), "year(t) <= 1996"), "year_month": (lambda: where(_D).year_month(1995, 12), "year(t) = 1995 and month(t) = 12"),
     "year_month_in": (lambda: where(_D).year_month_in([(1995, 12), (1996, 2)]), "strftime(t, '%Y%m') in ('199512', '199602')"), "day_of": (lambda: where(_D).year_month_day(1995, 3, 5), "t::date = date '1995-03-05'"),
-    "days_of": (lambda: where(_D).year_month_day_in([(1995, 3, 5), (1996, 2, 29)]), "t::date in (date '1995-03-05', date '1996-02-29')"), "year_months": (lambda: where(_D).year_in_months(1994, [1, 6]), "year(t) = 1994 and month(t) in (1, 6)"),
-    "year_quarter": (lambda: where(_D).year_quarter(1994, 4), "year(t) = 1994 and quarter(t) = 4"), "month": (lambda: where(_D).month_equal_to(2), "month(t) = 2"), "month_not": (lambda: where(_D).month_not_equal_to(2), "month(t) <> 2"),
+    "days_of": (lambda: where(_D).year_month_day_in([(1995, 3, 5), (1996, 2, 29)]), "t::date in (date '1995-03-05', date '1996-02-29')"), "year_months": (lambda: where(_D).year_in_months(1996, [1, 6]), "year(t) = 1996 and month(t) in (1, 6)"),
+    "year_quarter": (lambda: where(_D).year_quarter(1996, 4), "year(t) = 1996 and quarter(t) = 4"), "month": (lambda: where(_D).month_equal_to(2), "month(t) = 2"), "month_not": (lambda: where(_D).month_not_equal_to(2), "month(t) <> 2"),
     "month_in": (lambda: where(_D).month_in([2, 3]), "month(t) in (2, 3)"), "month_not_in": (lambda: where(_D).month_not_in([2, 3]), "month(t) not in (2, 3)"), "month_range": (lambda: where(_D).month_range(4, 6), "month(t) between 4 and 6"),
     "month_not_range": (lambda: where(_D).month_not_range(4, 6), "month(t) not between 4 and 6"), "day": (lambda: where(_D).day_equal_to(31), "day(t) = 31"), "day_not": (lambda: where(_D).day_not_equal_to(31), "day(t) <> 31"), "day_in": (lambda: where(_D).day_in([1, 15]), "day(t) in (1, 15)"),
     "day_not_in": (lambda: where(_D).day_not_in([1, 15]), "day(t) not in (1, 15)"), "day_range": (lambda: where(_D).day_range(10, 12), "day(t) between 10 and 12"), "day_not_range": (lambda: where(_D).day_not_range(10, 12), "day(t) not between 10 and 12"),
@@ -118,7 +118,7 @@ _filter("num_round_range", "part", lambda: where("p_retailprice").transformed("r
 def _binary(name: str, condition: Callable[[], Condition], sql: str) -> None:
     def run(s: SparkSession, d: str) -> DataFrame:
         t = _table(s, d, "customer").withColumn("b", F.encode("c_name", "UTF-8")).withColumn("guid", F.md5("c_name"))
-        return Query(IndexSet.from_table(t, "c_custkey"), condition()).identities()
+        return Query(IndexSet.from_table(t, "c_custkey", unique=True), condition()).identities()
 
     _put(name, run, f"select c_custkey as identity from (select *, hex(c_name::blob) as hex, md5(c_name) as guid from customer) where {sql}")
 
@@ -139,7 +139,10 @@ _multi("multi_not_equal", ["l_returnflag"], lambda s: Query(s, where("l_returnfl
 _multi("multi_not_in", ["l_returnflag"], lambda s: Query(s, where("l_returnflag").not_in_set(["N"])).identities(), "select distinct l_orderkey as identity from lineitem except select l_orderkey from lineitem where l_returnflag = 'N'")
 _multi("multi_keys_all", ["l_returnflag"], lambda s: Query(s, where("l_returnflag").exists_all(["A", "N", "R"])).identities(), "select l_orderkey as identity from lineitem where l_returnflag in ('A', 'N', 'R') group by 1 having count(distinct l_returnflag) = 3")
 _multi("multi_keys_any", ["l_returnflag"], lambda s: Query(s, where("l_returnflag").exists_any(["A", "R"])).identities(), "select distinct l_orderkey as identity from lineitem where l_returnflag in ('A', 'R')")
-_multi("multi_or_preserve", ["l_quantity"], lambda s: Query(s, where("l_quantity").less_than(3.0)).count(), "select count(distinct l_orderkey) as n from lineitem where l_quantity < 3")
+_multi("multi_or_preserve", ["l_quantity"], lambda s: Query(s, where("l_quantity").less_than(3.0) | where("l_quantity").less_than(5.0)).count(preserve=True), "select count(*) filter (l_quantity < 3) + count(*) filter (l_quantity < 5) as n from lineitem")
+_multi("multi_or", ["l_quantity", "l_partkey"], lambda s: Query(s, where("l_quantity").less_than(3.0) | where("l_partkey").less_than(50)).identities(), "select distinct l_orderkey as identity from lineitem where l_quantity < 3 or l_partkey < 50")
+_multi("multi_not_and", ["l_returnflag"], lambda s: Query(s, where("l_returnflag").equal_to("A") & ~where("l_returnflag").equal_to("R")).identities(), "select l_orderkey as identity from lineitem where l_returnflag = 'A' except select l_orderkey from lineitem where l_returnflag = 'R'")
+_multi("multi_preserve", ["l_quantity"], lambda s: Query(s, where("l_quantity").less_than(3.0)).identities(preserve=True), "select l_orderkey as identity from lineitem where l_quantity < 3")
 _multi("multi_complement", ["l_shipdate"], lambda s: Query(s, ~where("l_shipdate").year_equal_to(1995)).identities(), "select distinct l_orderkey as identity from lineitem except select l_orderkey from lineitem where year(l_shipdate) = 1995")
 _multi("cmp_keys", ["l_partkey", "l_suppkey"], lambda s: Query(s, CompareKeys("l_partkey", "l_suppkey", "=")).identities(), "select distinct a.l_orderkey as identity from lineitem a join lineitem b on a.l_orderkey = b.l_orderkey and a.l_partkey = b.l_suppkey")
 _multi("single_identities", ["l_returnflag"], lambda s: lookups.repeated(s["l_returnflag"], "identity", single=True), "select l_orderkey as identity, count(distinct l_returnflag) as n from lineitem group by 1 having count(distinct l_returnflag) = 1")
@@ -193,7 +196,7 @@ def _lines(s: SparkSession, d: str) -> IndexSet:
 
 
 _put("composite_parts", lambda s, d: Query(_lines(s, d), Composite("line", lambda p: (p["p2"] >= 6) & (p["p3"] == "A"))).identities(), "select distinct l_orderkey as identity from lineitem where l_linenumber >= 6 and l_returnflag = 'A'")
-_put("composite_part_leaf", lambda s, d: Query(_lines(s, d), where("line", part="p4").year_equal_to(1994) & where("line", part="p3").equal_to("R")).identities(), "select l_orderkey as identity from lineitem where year(l_shipdate) = 1994 intersect select l_orderkey from lineitem where l_returnflag = 'R'")
+_put("composite_part_leaf", lambda s, d: Query(_lines(s, d), where("line", part="p4").year_equal_to(1996) & where("line", part="p3").equal_to("R")).identities(), "select l_orderkey as identity from lineitem where year(l_shipdate) = 1996 intersect select l_orderkey from lineitem where l_returnflag = 'R'")
 _put("composite_compare", lambda s, d: Query(_lines(s, d), Composite("line", lambda p: p["p1"] == p["p2"])).identities(), "select distinct l_orderkey as identity from lineitem where l_orderkey = l_linenumber")
 _put("composite_full_key", lambda s, d: Query(_lines(s, d), Composite("line", lambda p: lookups.full_key(_lines(s, d)["line"], "/", without=["p4"]).endswith("7/N"))).identities(), "select distinct l_orderkey as identity from lineitem where suffix(concat_ws('/', l_orderkey, l_linenumber, l_returnflag), '7/N')")
 _put("chg_delete", lambda s, d: changes.deleted_where(_set(s, d, "part")["p_brand"], _set(s, d, "part"), where("p_size").less_than(40)), "select p_partkey as identity, p_brand as key from part where p_size >= 40")
@@ -201,6 +204,49 @@ _put("chg_set_key", lambda s, d: changes.rekeyed_where(_set(s, d, "part")["p_siz
 _put("chg_insert", lambda s, d: changes.inserted(IndexSet.from_rows(_table(s, d, "nation"), "n_nationkey", ["n_name"])["n_name"], _table(s, d, "region").select(F.col("r_regionkey").alias("identity"), F.col("r_name").alias("key"))), "select n_nationkey as identity, n_name as key from nation union select r_regionkey, r_name from region")
 
 
+# Further results, text policies, outside keys, numbers and slices
+_cheap = lambda: where("p_size").less_than(5)
+_put("exists", lambda s, d: s.createDataFrame([(Query(_set(s, d, "part"), _cheap()).exists(), Query(_set(s, d, "part"), where("p_size").less_than(-5)).exists())], "some boolean, none boolean"), "select exists (from part where p_size < 5) as some, exists (from part where p_size < -5) as none")
+
+
+def _second_page(s: SparkSession, d: str, descending: bool) -> DataFrame:
+    q = Query(_set(s, d, "customer"), where("c_acctbal").greater_than(0.0))
+    _, mark = q.page("c_nationkey", 25, descending=descending)
+    rows, _ = q.page("c_nationkey", 25, mark, descending=descending)
+    return s.createDataFrame(rows, "identity long, key int")
+
+
+_put("page_second", lambda s, d: _second_page(s, d, False), "select c_custkey as identity, c_nationkey as key from customer where c_acctbal > 0 order by 2, 1 limit 25 offset 25")
+_put("page_second_down", lambda s, d: _second_page(s, d, True), "select c_custkey as identity, c_nationkey as key from customer where c_acctbal > 0 order by 2 desc, 1 desc limit 25 offset 25")
+_shape("grp_items", "customer", lambda s: Query(s, where("c_acctbal").less_than(0.0)).group_by("c_nationkey").items().select("key", F.array_join("identities", ",").alias("identities")), "select c_nationkey as key, string_agg(c_custkey::varchar, ',' order by c_custkey) as identities from customer where c_acctbal < 0 group by 1")
+_shape("grp_numbered_many", "orders", lambda s: Query(s, _poor()).group_by("o_custkey").numbered().select("key", "identity", "group", F.col("item").cast("long").alias("item"), "is_first"), f"select o_custkey as key, o_orderkey as identity, dense_rank() over (order by o_custkey) - 1 as group, row_number() over (partition by o_custkey order by o_orderkey) - 1 as item, row_number() over (partition by o_custkey order by o_orderkey) = 1 as is_first from orders where {_POOR}")
+_shape("grp_fold_column", "customer", lambda s: Query(s, where("c_acctbal").less_than(0.0)).group_by("c_nationkey").fold_column(F.lit(0).cast("long"), lambda a, i: (a * 31 + i) % 1000003), "select c_nationkey as key, list_reduce(list_prepend(0::bigint, list(c_custkey order by c_custkey)), lambda a, i: (a * 31 + i) % 1000003) as value from customer where c_acctbal < 0 group by 1")
+_shape("grp_policy", "documents", lambda s: Query(s, where("doc_id").all()).group_by("lang", "normalized").counts(), "select nfc_normalize(lang) as key, count(*) as n from documents group by 1")
+_shape("ret_transform", "orders", lambda s: Query(s, _poor()).transform("o_totalprice", lambda k: F.floor(k / 1000)), f"select o_orderkey as identity, floor(o_totalprice / 1000)::bigint as value from orders where {_POOR}")
+_shape("ordered_by_comparer", "part", lambda s: Query(s, _cheap()).ordered("p_name", top=15, by=F.reverse), "select p_partkey as identity, p_name as key from part where p_size < 5 order by reverse(p_name), 1 limit 15")
+_filter("str_normalized", "documents", lambda: where("lang").text_equals("en", policy="normalized"), "nfc_normalize(lang) = 'en'")
+_filter("str_policy_less", "orders", lambda: where("o_orderpriority").less_than("3-medium", policy="ignore_case"), "lower(o_orderpriority) < '3-medium'")
+_filter("str_policy_unicode", "orders", lambda: where("o_orderpriority").equal_to("2-high", policy="unicode_ci"), "lower(o_orderpriority) = '2-high'")
+_filter("str_not_captured", "part", lambda: where("p_brand").not_matches_with("Brand#(.)", "2"), "regexp_extract(p_brand, 'Brand#(.)', 1) <> '2'")
+for _n, _how, _q in (("to_even", "round_to_even", "round_even(p_retailprice, 0) = 950"), ("to_zero", "round_to_zero", "trunc(p_retailprice) = 950"), ("down", "round_down", "floor(p_retailprice) = 950"), ("up", "round_up", "ceil(p_retailprice) = 950"), ("away", "round_away", "round(p_retailprice) = 950")):
+    _filter(f"num_round_{_n}", "part", lambda h=_how: where("p_retailprice").transformed(h, 0, "EqualTo", 950.0), _q)
+_binary("bin_ends", lambda: where("b").ends_with(b"7"), "suffix(hex, '37')")
+_binary("bin_contains", lambda: where("b").contains(b"#0"), "contains(hex, '2330')")
+_binary("bin_ascii", lambda: where("b").binary_typed_slice_starts_with(4, "ascii", "omer", length=8), "substr(c_name, 5, 4) = 'omer'")
+_binary("bin_uint128", lambda: where("b").binary_typed_slice_greater_than(2, "uint128", 0x35 << 120), "right(c_name, 1) >= '5'")
+_binary("bin_char", lambda: where("b").binary_typed_slice_equal_to(16, "uint16", 0x3130), "suffix(c_name, '01')")
+_put("ext_keys", lambda s, d: Query(_set(s, d, "documents"), where("lang").equal_to("en") & external_keys(_table(s, d, "labels").select("doc_id", "quality")).equal_to(1)).identities(), "select doc_id as identity from documents where lang = 'en' and doc_id in (select doc_id from labels where quality = 1)")
+_filter("ext_correlated", "part", lambda: where("p_size").greater_than(5) & correlated_keys(lambda i: F.array(i % 7, i % 11)).equal_to(3), "p_size > 5 and (p_partkey % 7 = 3 or p_partkey % 11 = 3)")
+_shape("ext_ordinal", "part", lambda s: Query(s, where("p_size").greater_than(40) & OrdinalTest(lambda i, n, first: (n % 3 == 1) | first)).identities(), "select identity from (select p_partkey as identity, row_number() over (order by p_partkey) - 1 as n from part where p_size > 40) where n % 3 = 1 or n = 0")
+_put("set_prepared", lambda s, d: Query(_set(s, d, "orders"), where("o_custkey").in_set(PreparedSet(_table(s, d, "customer").where("c_acctbal < 0").select("c_custkey")))).identities(), "select o_orderkey as identity from orders where o_custkey in (select c_custkey from customer where c_acctbal < 0)")
+_put("set_prepared_not", lambda s, d: Query(_set(s, d, "orders"), where("o_custkey").not_in_set(PreparedSet(_table(s, d, "customer").where("c_acctbal > 0").select("c_custkey")))).identities(), "select o_orderkey as identity from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0)")
+_put("value_path", lambda s, d: Query(IndexSet().add_path("k", _table(s, d, "events"), "event_id", "k", text="props"), where("k").in_set(["69", "7"])).identities(), "select event_id as identity from events where props in ('{\"k\": 69}', '{\"k\": 7}')")
+_shape("multi_key_builder", "part", lambda s, k=MultiKey("p_size", "p_brand"): Query(s, k.where(0).less_than(9) & k.where(1).starts_with("Brand#1")).identities(), "select p_partkey as identity from part where p_size < 9 and starts_with(p_brand, 'Brand#1')")
+_put("chg_rekey", lambda s, d: changes.rekeyed(_set(s, d, "part")["p_size"], 5, 99), "select p_partkey as identity, case when p_partkey = 5 then 99 else p_size end as key from part")
+_put("chg_delete_rows", lambda s, d: changes.deleted(_set(s, d, "part")["p_size"], _table(s, d, "part").where("p_partkey % 3 = 0").select(F.col("p_partkey").alias("identity"), F.col("p_size").alias("key"))), "select p_partkey as identity, p_size as key from part where p_partkey % 3 <> 0")
+_put("inv_all", lambda s, d: lookups.inverse(IndexSet.from_rows(_table(s, d, "lineitem"), "l_orderkey", ["l_linestatus"]), ["l_linestatus"]).select("identity", F.array_join("l_linestatus", ",").alias("status")), "select l_orderkey as identity, string_agg(distinct l_linestatus, ',' order by l_linestatus) as status from lineitem group by 1")
+
+
 def queries() -> dict[str, Run]:
     return dict(QUERIES)
 

@@ -11,7 +11,7 @@ from ..sources.catalog import IndexSet
 
 def matching(stream: DataFrame, identity: str, condition: Condition) -> DataFrame:
     """Rows of ``stream`` (one an identity) that match; all their columns."""
-    c = Compiler(IndexSet.from_table(stream, identity))
+    c = Compiler(IndexSet.from_table(stream, identity, unique=True))
     if not c.can_be_wide(condition):
         raise ValueError("only conditions over the stream's own columns can be asked of a stream")
     return stream.where(c.test(condition))

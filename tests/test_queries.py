@@ -21,6 +21,14 @@ def rows(names, data):
     return sorted(names), sorted(flat, key=repr)
 
 
+@pytest.mark.parametrize("name", sorted(queries.SQL))
+def test_no_query_is_held_against_nothing(name):
+    c = duckdb.connect()
+    for t in TABLES:
+        c.execute(f"create view {t} as select * from '/root/testdata/sf0.01/{t}.parquet'")
+    assert c.execute(queries.SQL[name]).fetchone() is not None
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_query_equals_sql(spark, con, name):
     got = queries.QUERIES[name](spark, SF)
