@@ -8,8 +8,8 @@ or same document, earlier start). The corpus is never sorted as a whole:
 3. around the others, the windows of an anchor are a segment, known by its hash; equal segments are reduced to their first
    place, so thousands of copies cost one;
 4. where an anchor has several distinct segments, these are cut out, and meet in one task, in blocks of bounded bytes, where the operator's own index
-   (suffix array or suffix trees) finds the windows that occur more than once; an anchor with too many distinct
-   segments (a common phrase) is instead taken apart by whole windows, over all tasks;
+   (suffix array or suffix trees) finds the windows that occur more than once; the segments of an anchor with more bytes than a block
+   (a common phrase) are dealt out by longer runs around it first, again and again until they fit;
 5. spans go back to their documents.
 
 Texts with such anchors are written once, bucketed by a hash of their key, and joined in place after that. Rows are told
@@ -30,9 +30,11 @@ from pyspark.sql import functions as F
 from . import flat
 from .common import bounded_batches, bucketed, id_back, id_of, materialize, text_of
 
-#: Bytes of distinct segments indexed at once, and the most distinct segments of one anchor that are.
+#: Bytes of distinct segments indexed at once.
 BLOCK_BYTES = 2_000_000
-BLOCK_SEGMENTS = 4_000
+#: A segment: its anchor's key, the bytes, where they are from, first window, number of windows, and the place of the anchor in it.
+SEGMENTS = "a long, seg binary, id long, h long, lo int, n int, o int"
+SEGMENT_COLUMNS = [c.split()[0] for c in SEGMENTS.split(", ")]
 SPACES = r"[\x20\x09-\x0D]+"
 
 #: An index takes (segments, window) and returns, for the windows found more than once: segment, offset, class.
@@ -115,8 +117,8 @@ def _cut_segments(unit: str, window: int):
             t, out = Texts(b["text"], unit), []
             for i, wanted in enumerate(b["wanted"]):
                 key, o = (b["id"].iat[i], b["h"].iat[i]), int(t.at[i])
-                out += [(x["a"], t.cut(o + x["lo"], o + x["lo"] + x["n"] + window - 1), *key, x["lo"], x["n"], x["o"], x["g"]) for x in wanted if (x["id"], x["h"]) == key]
-            yield pd.DataFrame(out, columns=["a", "seg", "id", "h", "lo", "n", "o", "g"])
+                out += [(x["a"], t.cut(o + x["lo"], o + x["lo"] + x["n"] + window - 1), *key, x["lo"], x["n"], x["o"]) for x in wanted if (x["id"], x["h"]) == key]
+            yield pd.DataFrame(out, columns=SEGMENT_COLUMNS)
 
     return run
 
@@ -195,17 +197,57 @@ def _index_blocks(index: Index, unit: str, window: int, k: int, most: int):
     return run
 
 
-def _whole_windows(unit: str, window: int):
+def _redeal(unit: str, window: int, core: int, more: int):
+    """Each segment as two, by longer runs around its anchor: those of its windows that hold ``more`` units left of the run, and right of it.
+
+    A window holds the anchor's run of ``core`` units and, on one side at least, half of what it has besides.
+    """
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for seg, i, h, lo, n in zip(b["seg"], b["id"], b["h"], b["lo"], b["n"]):
+            out = []
+            for a, seg, i, h, lo, n, o in zip(*(b[c].tolist() for c in SEGMENT_COLUMNS)):
                 w = seg if unit == "byte" else seg.split(b" ")
-                cuts = [w[j : j + window] if unit == "byte" else b" ".join(w[j : j + window]) for j in range(n)]
-                yield pd.DataFrame({"w": cuts, "id": i, "h": h, "lo": np.arange(lo, lo + n)})
+                for side, first, last, begin in ((1, 0, min(n - 1, o - more), o - more), (2, max(0, o + core + more - window), n - 1, o)):
+                    if first > last:
+                        continue
+                    run_of, cut = w[begin : begin + core + more], w[first : last + window]
+                    run_of, cut = (run_of, cut) if unit == "byte" else (b" ".join(run_of), b" ".join(cut))
+                    key = hashlib.blake2b(run_of, digest_size=8, key=a.to_bytes(8, "little", signed=True), salt=bytes([side])).digest()
+                    out.append((int.from_bytes(key, "little", signed=True), cut, i, h, lo + first, last - first + 1, begin - first))
+            yield pd.DataFrame(out, columns=SEGMENT_COLUMNS)
 
     return run
 
 
+def _indexed(segments: DataFrame, unit: str, window: int, core: int, index: Index) -> DataFrame:
+    """(id, h, lo, n): runs of windows of the segments that start elsewhere earlier, all found by the index.
+
+    Anchors with up to BLOCK_BYTES of segments are indexed in blocks. The segments of others are dealt out again by longer runs, of which
+    equal ones are reduced to the first again, until each fits; runs as long as a window leave nothing to compare.
+    """
+    found = None
+    while True:
+        size = segments.groupBy("a").agg(F.sum(F.octet_length("seg")).alias("bytes"))
+        large = materialize(size.where(F.col("bytes") > BLOCK_BYTES).select("a"), "repeat-large")
+        last = core == window or large.isEmpty()
+        here = segments if last else segments.join(large, "a", "left_anti")
+        blocks = here.repartition("a").sortWithinPartitions("a").mapInPandas(_index_blocks(index, unit, window, core, BLOCK_BYTES), "id long, h long, lo int, n int")
+        found = blocks if found is None else found.unionByName(blocks)
+        if last:
+            return found
+        more = -(-(window - core) // 2)
+        dealt = segments.join(large, "a", "left_semi").select(*SEGMENT_COLUMNS).mapInPandas(_redeal(unit, window, core, more), SEGMENTS)
+        place = F.struct("id", "h", "lo")
+        first = dealt.groupBy("a", F.xxhash64("seg").alias("s"), F.octet_length("seg").alias("long")).agg(F.min(place).alias("first"))
+        dealt = dealt.withColumns({"s": F.xxhash64("seg"), "long": F.octet_length("seg")}).join(first, ["a", "s", "long"])
+        dealt = materialize(dealt.select(*SEGMENT_COLUMNS, (place == F.col("first")).alias("lead")), "repeat-dealt")
+        found = found.unionByName(dealt.where("not lead").select("id", "h", "lo", "n"))
+        lead = dealt.where("lead").drop("lead")
+        several = lead.groupBy("a").agg(F.count(F.lit(1)).alias("g")).where("g > 1").select("a")
+        segments, core = lead.join(several, "a", "left_semi"), core + more
+
+
 def _later_windows(docs: DataFrame, unit: str, window: int, k: int, index: Index) -> tuple[DataFrame, DataFrame, Callable[[], None]]:
     """(id, h, lo, n): runs of windows that start elsewhere earlier; the texts they can be in, a table bucketed by key; and what drops it."""
     spark = docs.sparkSession
@@ -227,15 +269,10 @@ def _later_windows(docs: DataFrame, unit: str, window: int, k: int, index: Index
     again, once = segs.where("not lead").select("id", "h", "lo", "n"), segs.where("lead")
     # Anchors with several segments: these are cut out of the texts.
     groups = once.groupBy("a").agg(F.count(F.lit(1)).alias("g")).where("g > 1")
-    wanted = once.join(groups, "a").select(F.hash("id", "h").alias("key"), F.struct("a", "id", "h", "lo", "n", "o", "g").alias("w"))
+    wanted = once.join(groups, "a").select(F.hash("id", "h").alias("key"), F.struct("a", "id", "h", "lo", "n", "o").alias("w"))
     wanted = wanted.groupBy("key").agg(F.collect_list("w").alias("wanted"))
-    split = materialize(texts.select("key", "id", "h", "text").join(wanted, "key").select("id", "h", "text", "wanted").mapInPandas(_cut_segments(unit, window), "a long, seg binary, " + keys + "lo int, n int, o int, g long"), "repeat-cuts")
-    blocks = split.where(F.col("g") <= BLOCK_SEGMENTS).drop("g").repartition("a").sortWithinPartitions("a").mapInPandas(_index_blocks(index, unit, window, k, BLOCK_BYTES), keys + "lo int, n int")
-    # An anchor with too many: by whole windows.
-    wide = split.where(F.col("g") > BLOCK_SEGMENTS).mapInPandas(_whole_windows(unit, window), "w binary, " + keys + "lo int").select("id", "h", "lo", F.xxhash64("w").alias("w1"), F.xxhash64(F.lit(1), "w").alias("w2"))
-    first = wide.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1")
-    common = wide.join(first, ["w1", "w2"]).where(place != F.col("first")).select("id", "h", "lo", F.lit(1).alias("n"))
-    return again.unionByName(blocks).unionByName(common), texts, drop
+    split = materialize(texts.select("key", "id", "h", "text").join(wanted, "key").select("id", "h", "text", "wanted").mapInPandas(_cut_segments(unit, window), SEGMENTS), "repeat-cuts")
+    return again.unionByName(_indexed(split, unit, window, k, index)), texts, drop
 
 
 def _remove(unit: str, window: int):

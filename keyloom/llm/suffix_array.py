@@ -96,15 +96,21 @@ def suffix_array(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def common_prefixes(order: np.ndarray, eight: np.ndarray, depth: int) -> np.ndarray:
-    """Of each suffix with the one before it: whether they share ``depth`` bytes."""
-    same = np.zeros(len(order), bool)
+    """How many bytes each suffix has in common with the one before it, counted up to ``depth``; 0 for the first."""
+    length = np.zeros(len(order), np.int64)
     pairs = np.arange(1, len(order))
-    for off in [*range(0, depth - 8, 8), depth - 8]:
+    for off in range(0, depth, 8):
         a, b = order[pairs - 1] + off, order[pairs] + off
         inside = np.maximum(a, b) < len(eight)
-        pairs = pairs[inside][eight[a[inside]] == eight[b[inside]]]
-    same[pairs] = True
-    return same
+        pairs = pairs[inside]
+        apart = eight[a[inside]] ^ eight[b[inside]]
+        # Eight bytes more where nothing differs, else those before the highest byte that does.
+        more = np.full(len(pairs), 8)
+        differ = np.flatnonzero(apart)
+        more[differ] = sum((apart[differ] < np.uint64(1 << 8 * i)).astype(np.int64) for i in range(1, 8))
+        length[pairs] += more
+        pairs = pairs[apart == 0]
+    return np.minimum(length, depth)
 
 
 def repeated_windows(segments: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -118,7 +124,7 @@ def repeated_windows(segments: list[bytes], window: int) -> tuple[np.ndarray, np
     edge = np.bincount(begin, minlength=len(s) + 1) - np.bincount(begin + n_windows, minlength=len(s) + 1)
     starts = np.cumsum(edge)[:-1] > 0
     order = order[starts[order]]
-    cls = np.cumsum(~common_prefixes(order, eight, window)) if len(order) else order
+    cls = np.cumsum(common_prefixes(order, eight, window) < window) if len(order) else order
     seg = seg_of[order]
     off = order - begin[seg]
     often = np.bincount(cls)[cls] > 1

@@ -44,6 +44,52 @@ def test_binomial_tail_is_exact(spark):
     assert spark.range(1).select(quality_rules.binomial_tail(F.lit(9_900_000), F.lit(1_000_000_000), 0.01).alias("p")).first().p < 1e-20
 
 
+def brute_kept(texts, langs, labels, alpha=0.05, delta=0.05):
+    """The cutoffs from all documents' scores and exact binomial sums, one test after another."""
+    from math import comb
+
+    def scores(t):
+        n, chars, symbols, dup, rep, _ = brute.quality(t)
+        lines = sum(bool(brute.WORD.search(x)) for x in t.split("\n"))
+        w, c = max(n, 1), max(chars, 1)
+        return {"symbols_per_word": symbols / w, "dup_line_share": dup / max(lines, 1), "repeat_share": rep / w, "long_words": chars / w, "short_words": -chars / w, "upper_share": sum("A" <= x <= "Z" for x in t) / c}
+
+    rows = [(scores(t), brute.quality(t)[5], lang) for t, lang in zip(texts, langs)]
+    by = {}
+    for d, q in labels:
+        if not rows[d][1]:
+            by.setdefault(rows[d][2], []).append((rows[d][0], q))
+    tests = len(by) * sum(map(len, quality_rules.GRIDS.values()))
+    cut = {}
+    for lang, got in by.items():
+        n = sum(q == 1 for _, q in got)
+        for rule, grid in quality_rules.GRIDS.items():
+            p, fits = alpha / len(quality_rules.GRIDS), []
+            for c in grid:
+                k, b = (sum(s[rule] > c for s, q in got if q == want) for want in (1, 0))
+                tail = sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(k + 1)) if n and k < n * p else 1.0
+                if n and b and tail * tests <= delta:
+                    fits.append((b, c))
+            if fits:
+                cut[lang, rule] = max(fits)[1]
+    return [not failed and not any(s[r] > cut[lang, r] for r in s if (lang, r) in cut) for s, failed, lang in rows], cut
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.choice([3, 5, 6])))
+    texts, langs = [], []
+    for i in range(2400):
+        junk = r.random() < 0.3
+        texts.append(" ".join(word().upper() + "#" * r.randint(0, 1) if junk and r.random() < 0.7 else word() for _ in range(r.randint(15, 40))))
+        langs.append("en" if i % 2 else "fr" if i % 50 else "xx")
+    labels = [(i, int("#" not in texts[i])) for i in range(2400) if r.random() < 0.9]
+    want, cut = brute_kept(texts, langs, labels)
+    docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string")
+    got = {x.doc_id: x.kept for x in quality_rules.quality_report(docs, spark.createDataFrame([(d, q, 0) for d, q in labels], LABELS)).collect()}
+    assert cut and [got[i] for i in range(2400)] == want
+
+
 def test_quality_cutoffs_reject_junk_and_hold_the_bound(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))

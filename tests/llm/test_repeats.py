@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from keyloom.llm import flat, repeats, suffix_array, suffix_trees
@@ -67,14 +68,45 @@ def test_anchors_do_not_depend_on_pieces(monkeypatch):
 @pytest.mark.parametrize("op,unit,window,k", [(suffix_array.dedup_substrings, "byte", 100, 32), (suffix_trees.dedup_words, "word", 20, 5)])
 @pytest.mark.parametrize("small", [False, True])
 def test_repeats_equal_brute_force(spark, monkeypatch, op, unit, window, k, small):
-    if small:  # blocks of few bytes, common anchors taken apart by windows
-        for name, v in (("BLOCK_BYTES", 2000), ("BLOCK_SEGMENTS", 2)):
-            monkeypatch.setattr(repeats, name, v)
+    if small:  # blocks of few bytes: the segments of most anchors are dealt out again
+        monkeypatch.setattr(repeats, "BLOCK_BYTES", 600)
     texts = corpus(2 if small else 3)
     got = {x[0]: tuple(x[1:]) for x in op(frame(spark, texts)).collect()}
     assert got == brute.repeats(list(enumerate(texts)), unit, window)
 
 
+def test_common_prefixes_are_counted():
+    r = random.Random(4)
+    for _ in range(100):
+        x = bytes(r.choice(b"ab") for _ in range(r.randint(1, 200))) + b"\xff"
+        depth = r.choice([3, 8, 20, 100])
+        order, eight = suffix_array.suffix_array(np.frombuffer(x, np.uint8), depth)
+        got = suffix_array.common_prefixes(order, eight, depth)
+        for i in range(1, len(order)):
+            a, b = x[order[i - 1] :], x[order[i] :]
+            assert got[i] == min(depth, next((k for k, (u, v) in enumerate(zip(a, b)) if u != v), min(len(a), len(b))))
+
+
+@pytest.mark.parametrize("unit,window,k", [("byte", 12, 5), ("word", 6, 2)])
+def test_dealt_segments_hold_every_window_by_longer_runs(unit, window, k):
+    words = [b"w%d" % (i * i % 7) for i in range(40)]
+    seg = bytes(range(60, 100)) if unit == "byte" else b" ".join(words)
+    units = list(seg) if unit == "byte" else words
+    o = 15
+    first, last = max(0, o + k - window), min(o, len(units) - window)
+    part = units[first : last + window]
+    row = (3, bytes(part) if unit == "byte" else b" ".join(part), 1, 2, first, last - first + 1, o - first)
+    core, rows = k, [row]
+    while core < window:
+        more = -(-(window - core) // 2)
+        out = next(repeats._redeal(unit, window, core, more)(iter([pd.DataFrame(rows, columns=repeats.SEGMENT_COLUMNS)])))
+        rows, core = list(out.itertuples(index=False, name=None)), core + more
+        assert {x for _, _, _, _, lo, n, _ in rows for x in range(lo, lo + n)} == set(range(first, last + 1))
+        for _, cut, _, _, lo, n, at in rows:
+            got = list(cut) if unit == "byte" else cut.split(b" ")
+            assert got == units[lo : lo + n - 1 + window] and all(lo + j <= lo + at and lo + at + core <= lo + j + window for j in range(n))
+
+
 def test_repeats_of_odd_rows(spark):
     long = "abc def " * 50
     df = frame(spark, [long, long, long, None], [5, 5, 5, 5]).unionByName(frame(spark, [long], [None]))

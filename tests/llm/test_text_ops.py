@@ -99,6 +99,46 @@ def test_tiles_are_the_longest_first_and_do_not_overlap():
         assert not {"".join(free_a[i : i + 3]) for i in range(len(a) - 2)} & {"".join(free_b[i : i + 3]) for i in range(len(b) - 2)}
 
 
+def brute_tiles(a, b, match):
+    """Every pair of places, again and again: the longest common run of free words, at the earliest place in b, then in a."""
+    used_a, used_b, out = [False] * len(a), [False] * len(b), []
+    while True:
+        best = (0, 0, 0)
+        for j in range(len(b)):
+            for i in range(len(a)):
+                n = 0
+                while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n] and not used_a[i + n] and not used_b[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < match:
+            return out
+        used_a[i : i + n] = used_b[j : j + n] = [True] * n
+        out.append((i, j, n))
+
+
+def test_tiles_equal_brute_force():
+    r = random.Random(12)
+    w = lambda s: flat.mix(np.array([ord(c) for c in s], np.uint64))
+    for _ in range(150):
+        letters = r.choice(["a", "ab", "abcd"])
+        a, b = ("".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(2))
+        match = r.choice([1, 2, 4])
+        assert decontaminate.tiles(w(a), w(b), match) == brute_tiles(a, b, match), (a, b, match)
+    same = w("a" * 3000)
+    assert decontaminate.tiles(same, same[:2000], 5) == [(0, 0, 2000)]
+
+
+@pytest.mark.parametrize("seeds", [2_000_000, 0])
+def test_rows_alike_are_reported_each(spark, seeds):
+    text = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "other"), (None, text)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, text), (7, text), (None, text)], "item_id long, text string")
+    got = sorted(((x.doc_id, x.item_id) for x in decontaminate.find_leaks(docs, bench, seeds=seeds).collect()), key=str)
+    assert got == sorted([(d, i) for d in (1, 1, None) for i in (7, 7, None)], key=str)
+
+
 @pytest.mark.parametrize("seeds", [2_000_000, 0])
 def test_reordered_and_recased_passages_are_found(spark, seeds):
     r = random.Random(4)

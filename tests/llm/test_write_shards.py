@@ -18,3 +18,13 @@ def test_written_shards_hold_every_row_within_the_limit(spark, tmp_path):
         at = x.file.rsplit("/", 1)[0]
         size[at] = size.get(at, 0) + len((x.text or "").encode())
     assert max(size.values()) <= 400
+
+
+def test_shard_folders_are_text_and_clash_with_no_column(spark, tmp_path):
+    df = spark.createDataFrame([(i, "x" * 50, "mine", i) for i in range(60)], "doc_id long, text string, shard string, Part int")
+    assert sharding.write_shards(df, f"{tmp_path}/out", 300) == ("shard_", "part_")
+    back = spark.read.parquet(f"{tmp_path}/out")
+    assert dict(back.dtypes)["shard_"] == "string" and {x.shard for x in back.collect()} == {"mine"} and back.count() == 60
+    want = {x.doc_id: "b" + x.shard for x in sharding.shard(df, 300).collect()}
+    assert {x.doc_id: x.shard_ for x in back.collect()} == want
+    sharding.write_shards(df.limit(0), f"{tmp_path}/none", 300)
