@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
@@ -56,6 +57,11 @@ class Query:
         out = out.offset(skip) if skip else out
         return out.limit(take) if take is not None else out
 
+    def combined(self, how: str, *others: Query) -> DataFrame:
+        """Identities of this query joined to those of others, each once; how: union, intersect or except. The sets may differ, their identity type not."""
+        step = {"union": lambda a, b: a.unionByName(b), "intersect": lambda a, b: a.join(b, "identity", "left_semi"), "except": lambda a, b: a.join(b, "identity", "left_anti")}[how]
+        return reduce(step, [q.identities() for q in (self, *others)]).distinct()
+
     def count(self, preserve: bool = False) -> DataFrame:
         return self.identities(preserve).agg(F.count(F.lit(1)).alias("n"))
 

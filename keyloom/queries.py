@@ -238,6 +238,8 @@ _binary("bin_char", lambda: where("b").binary_typed_slice_equal_to(16, "uint16",
 _put("ext_keys", lambda s, d: Query(_set(s, d, "documents"), where("lang").equal_to("en") & external_keys(_table(s, d, "labels").select("doc_id", "quality")).equal_to(1)).identities(), "select doc_id as identity from documents where lang = 'en' and doc_id in (select doc_id from labels where quality = 1)")
 _filter("ext_correlated", "part", lambda: where("p_size").greater_than(5) & correlated_keys(lambda i: F.array(i % 7, i % 11)).equal_to(3), "p_size > 5 and (p_partkey % 7 = 3 or p_partkey % 11 = 3)")
 _shape("ext_ordinal", "part", lambda s: Query(s, where("p_size").greater_than(40) & OrdinalTest(lambda i, n, first: (n % 3 == 1) | first)).identities(), "select identity from (select p_partkey as identity, row_number() over (order by p_partkey) - 1 as n from part where p_size > 40) where n % 3 = 1 or n = 0")
+for _n, _q in (("union", "p_size < 5 or p_brand = 'Brand#2'"), ("intersect", "p_size < 5 and p_brand = 'Brand#2'"), ("except", "p_size < 5 and p_brand <> 'Brand#2'")):
+    _shape(f"set_{_n}", "part", lambda s, how=_n: Query(s, _cheap()).combined(how, Query(s, where("p_brand").equal_to("Brand#2"))), f"select p_partkey as identity from part where {_q}")
 _put("set_prepared", lambda s, d: Query(_set(s, d, "orders"), where("o_custkey").in_set(PreparedSet(_table(s, d, "customer").where("c_acctbal < 0").select("c_custkey")))).identities(), "select o_orderkey as identity from orders where o_custkey in (select c_custkey from customer where c_acctbal < 0)")
 _put("set_prepared_not", lambda s, d: Query(_set(s, d, "orders"), where("o_custkey").not_in_set(PreparedSet(_table(s, d, "customer").where("c_acctbal > 0").select("c_custkey")))).identities(), "select o_orderkey as identity from orders where o_custkey not in (select c_custkey from customer where c_acctbal > 0)")
 _put("value_path", lambda s, d: Query(IndexSet().add_path("k", _table(s, d, "events"), "event_id", "k", text="props"), where("k").in_set(["69", "7"])).identities(), "select event_id as identity from events where props in ('{\"k\": 69}', '{\"k\": 7}')")

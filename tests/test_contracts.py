@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from keyloom.operators import changes, lookups
 from keyloom.operators.cursors import Cursor
 from keyloom.operators.results import BookmarkError, Query, ResultError
+from keyloom.operators.stats import Stats
 from keyloom.plans.conditions import PreparedSet, where
 from keyloom.sources.catalog import Catalog, ConflictError, ContractError, IndexSet
 
@@ -174,3 +175,12 @@ def test_one_index_plan_equals_the_set_plan(spark):
         both = Query(many, c & where("other").all()).identities()  # two indexes: joins of sets
         assert ids(many, c) == sorted(r.identity for r in both.collect())
     assert "Join" not in Query(many, (k > 3) & (k < 3)).explain()
+
+
+def test_stats_count_since_a_mark(spark):
+    s, stats = IndexSet().add("k", entries(spark, [(1, 5), (2, 7)], "int")), Stats()
+    stats.run(Query(s, where("k") > 1))
+    mark = stats.mark()
+    stats.run(Query(s, (where("k") > 6) | (where("k") == 5)))
+    got = stats.since(mark)
+    assert (got["queries"], got["rows"], got["operator:EqualTo"], got["answered:entries"]) == (1, 2, 1, 2) and stats.totals["queries"] == 2
