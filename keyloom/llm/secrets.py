@@ -63,7 +63,7 @@ def _places(pieces: Column) -> Column:
         joined = lambda rs: F.transform(F.filter(F.arrays_zip(rs.alias("ps"), begins(rs).alias("at")), lambda x: x["ps"].isNotNull()), run)
         return F.filter(F.flatten(let(runs, joined)), lambda x: x["m"].isNotNull())
 
-    return F.when(F.size(pieces) < 2, empty).otherwise(let(pieces, whole))
+    return let(pieces, lambda ps: F.when(F.size(ps) < 2, empty).otherwise(whole(ps)))
 
 
 def _matches(t: Column, pattern: str) -> Column:
@@ -74,7 +74,7 @@ def _matches(t: Column, pattern: str) -> Column:
 def _marked(t: Column, pattern: str, counts: Callable[[Column], Column]) -> Column:
     """``t`` with MARK instead of each character of the matches that count."""
     shown = lambda p: F.concat(p["g"], F.when(p["m"].isNull(), "").when(counts(p["m"]), F.repeat(F.lit(MARK), F.length(p["m"]))).otherwise(p["m"]))
-    return F.when(t.rlike(pattern), F.array_join(F.transform(_pieces(t, pattern), shown), "")).otherwise(t)
+    return let(t, lambda x: F.when(x.rlike(pattern), F.array_join(F.transform(_pieces(x, pattern), shown), "")).otherwise(x))
 
 
 def _kind(spans: Column, order: int) -> Column:
@@ -95,7 +95,7 @@ def scan_spans(docs: DataFrame, repo: Column | None = None, owner: Column | None
     assign = F.filter(_matches(t, ASSIGN), lambda x: long(x["m"]))
     # Candidates that overlap a base span hold a mark; the places of all others stay.
     marked = _marked(_marked(_marked(t, ASSIGN, long), ACCESS, lambda m: F.lit(True)), HEX, lambda m: F.lit(True))
-    cand = F.filter(_matches(marked, CANDIDATE), lambda x: ~F.contains(x["m"], F.lit(MARK)))
+    cand = F.filter(let(marked, lambda x: _matches(x, CANDIDATE)), lambda x: ~F.contains(x["m"], F.lit(MARK)))
     return docs.select(
         "doc_id", F.xxhash64(source if owner is None else owner).alias("__owner"), F.xxhash64(F.concat_ws("\n", source, lang) if repo is None else repo).alias("__repo"),
         F.concat(_kind(assign, 0), _kind(_matches(t, ACCESS), 1), _kind(_matches(t, HEX), 2)).alias("base"), _kind(cand, 3).alias("cand"),

@@ -79,15 +79,15 @@ def test_quality_verdicts_equal_brute_force(spark):
     r = random.Random(5)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.choice([3, 5, 6])))
     texts, langs = [], []
-    for i in range(2400):
+    for i in range(4000):
         junk = r.random() < 0.3
         texts.append(" ".join(word().upper() + "#" * r.randint(0, 1) if junk and r.random() < 0.7 else word() for _ in range(r.randint(15, 40))))
-        langs.append("en" if i % 2 else "fr" if i % 50 else "xx")
-    labels = [(i, int("#" not in texts[i])) for i in range(2400) if r.random() < 0.9]
+        langs.append("en" if i % 3 else "fr" if i % 50 else "xx")
+    labels = [(i, int("#" not in texts[i])) for i in range(4000) if r.random() < 0.9]
     want, cut = brute_kept(texts, langs, labels)
     docs = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(zip(texts, langs))], "doc_id long, text string, lang string")
     got = {x.doc_id: x.kept for x in quality_rules.quality_report(docs, spark.createDataFrame([(d, q, 0) for d, q in labels], LABELS)).collect()}
-    assert cut and [got[i] for i in range(2400)] == want
+    assert cut and [got[i] for i in range(4000)] == want
 
 
 def test_quality_cutoffs_reject_junk_and_hold_the_bound(spark):
@@ -123,6 +123,39 @@ def test_secrets_of_few_owners_are_added_and_copied_ones_are_not(spark):
     assert rows[3].spans == "" and (rows[3].n_live, rows[3].n_copied) == (0, 1)
 
 
+def test_owned_spans_equal_brute_force(spark):
+    import re
+
+    token = re.compile(r"[A-Za-z0-9+/_-]{24,}")
+    r = random.Random(8)
+    letters = "abcXYZ0123+/_-"
+    pool = ["".join(r.choice(letters) for _ in range(r.randint(20, 40))) for _ in range(200)] + ["deadbeefdeadbeef01" + "XyZ" * 4, "password=Abcdefgh1234567890Abcdefgh"]
+    rows = [(i, " ".join(r.choice([*pool, "word", "a=b", "wörter\n"]) for _ in range(r.randint(0, 12))), r.choice(["en", "de", None]), f"src{r.randint(0, 5)}") for i in range(120)]
+    found, owners, repos = {}, {}, {}
+    for i, t, lang, source in rows:
+        base = [tuple(map(int, x.split(":")[1:])) for x in filter(None, brute.secrets(t)[4].split(","))]
+        for m in token.finditer(t):
+            x = m[0]
+            apart = all(e <= m.start() or s >= m.end() for s, e in base)
+            if apart and re.search("[0-9]", x) and re.search("[a-z]", x) and re.search("[A-Z]", x):
+                found.setdefault(i, []).append((m.start(), m.end(), x))
+                owners.setdefault(x, set()).add(source)
+                repos.setdefault(x, set()).add((source, lang))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = 0
+    for x in secrets.find_secrets(docs, copied=3, spread=5).collect():
+        want = {f"owned:{s}:{e}" for s, e, v in found.get(x.doc_id, []) if len(owners[v]) <= 3 and len(repos[v]) <= 5}
+        assert {y for y in x.spans.split(",") if y.startswith("owned")} == want
+        kept += len(want)
+    assert 10 < kept < sum(map(len, found.values()))
+
+
+def test_many_matches_are_placed(spark):
+    text = " ".join(f"{i:016x}" for i in range(3000))
+    got = secrets.find_secrets(spark.createDataFrame([(1, text, None, None)], "doc_id long, text string, lang string, source string")).first()
+    assert got.n_hex == 3000 and got.spans == ",".join(f"hex:{17 * i}:{17 * i + 16}" for i in range(3000))
+
+
 def test_warc_round_trip_equals_brute_force(spark):
     r = random.Random(4)
     pages = [(i, r.choice([None, "", "<p>é</p>", f"<b>{i}</b>", "long " * 3000])) for i in range(60)]
