@@ -1,12 +1,13 @@
 """Best-fit packing of token sequences by a configuration linear program over the length histogram.
 
 A configuration says how many pieces of each length share a sequence. The program (fewest sequences that cover the histogram)
-is solved by multiplicative weights: each round a knapsack dynamic program prices the configuration worth most at the present
-weights, takes as much of it as its scarcest length allows, and lowers the weights of what it covers (Garg and Koenemann).
+is solved by multiplicative weights: each round a knapsack dynamic program prices the configurations worth most at the present
+weights, takes as much of them as their scarcest lengths allow, and lowers the weights of what they cover (Garg and Koenemann; Young).
+Weights begin in proportion to lengths, which is nearly a dual solution: a length covered once weighs nothing any more. Only where that
+ends more than GAP over the lower bound that the prices give, lengths are covered many times, by weights that fall each time, and the mean is taken.
 The solution is rounded down and subtracted; the program runs again on what is left, until it rounds to nothing; the last rest goes,
-longest first, where it fits best. The program prices lengths rounded up to GRAIN tokens; pieces are placed by their true lengths. Best fit,
-longest first, of all pieces is planned before, and the plan of fewer sequences is taken; the program is not solved where a dual bound shows
-that its solution takes no fewer. Only the histogram (at most CAPACITY rows) and the configurations come to the driver.
+longest first, where it fits best. Lengths are priced as they are, and the program is always solved. Only the histogram (at most
+CAPACITY rows) and the configurations come to the driver.
 
 Pieces are then numbered within their length, by length and input partition, so that no task gathers a common length; a join by
 length and block of numbers gives each its place. The plan itself is never broadcast.
@@ -32,8 +33,10 @@ from .common import bounded_batches, id_back, id_of, materialize, new_path, text
 
 CAPACITY = 4096
 END_ID = 1
-GRAIN = 4
-EPSILON = 1.0
+#: Share by which a length's weight falls each time that it is covered, where covering once is more than GAP over the lower bound.
+EPSILON, GAP = 0.5, 0.01
+#: Lengths kept for each room that a configuration may begin with; configurations for each length and round.
+DRAWS, TRIES = 8, 6
 #: Numbers of a length that are joined with its runs together.
 BLOCK = 2048
 #: Words whose ids are kept by a task.
@@ -122,50 +125,99 @@ def _pieces(tokenizer: str, capacity: int):
     return run
 
 
-def price(worth: np.ndarray, sizes: np.ndarray, counts: np.ndarray, room: int) -> dict[int, int]:
-    """The configuration worth most: index of size -> times. Unbounded knapsack; taken no more often than there are pieces."""
-    best, choice = np.zeros(room + 1), np.full(room + 1, -1)
-    stop = np.searchsorted(sizes, np.arange(room + 1), "right")
-    for c in range(int(sizes[0]), room + 1):
-        n = stop[c]
-        v = best[c - sizes[:n]] + worth[:n]
-        k = int(v.argmax())
-        if v[k] > best[c - 1]:
-            best[c], choice[c] = v[k], k
+def price(worth: np.ndarray, stock: np.ndarray, slack: float, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """For all rooms c at once (unbounded knapsack; ``worth`` and ``stock`` by length): the most that a configuration in c is worth, and DRAWS lengths that
+    one may begin with: of one worth most, then, drawn by stock, of those worth up to ``slack`` less. 0 leaves a token empty."""
+    room = len(worth) - 1
+    best, begin = np.zeros(room + 1), np.zeros((room + 1, DRAWS), np.int64)
+    back, v = np.zeros(room + 1), np.empty(room)  # best, from the largest room on
+    draw = rng.random((room + 1, DRAWS))
+    for c in range(1, room + 1):
+        u = np.add(back[room - c + 1 :], worth[1 : c + 1], out=v[:c])
+        k = int(u.argmax())
+        if u[k] > best[c - 1]:
+            best[c] = u[k]
+            near = np.flatnonzero(u >= u[k] - slack)
+            if len(near) > 1:
+                total = stock[near + 1].cumsum()
+                begin[c] = near[np.searchsorted(total, draw[c] * total[-1], "right")] + 1
+            begin[c, 0] = k + 1
+            if len(near) == 1:
+                begin[c] = k + 1
         else:
             best[c] = best[c - 1]
-    out, c = Counter(), room
-    while c > 0:
-        k = choice[c]
-        if k < 0:
-            c -= 1
-            continue
-        out[int(k)] += 1
-        c -= int(sizes[k])
-    return {k: min(n, int(counts[k])) for k, n in out.items()}
+        back[room - c] = best[c]
+    return best, begin
 
 
-def solve(sizes: np.ndarray, counts: np.ndarray, room: int, epsilon: float = EPSILON) -> list[tuple[dict[int, int], float]]:
-    """A fractional solution that covers all counts: (configuration, how often).
+def configurations(live: np.ndarray, begin: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Rows of lengths, the longest first, 0 after the last: for each length of ``live`` the configuration worth most that holds it, and TRIES - 1 draws of others."""
+    lead = np.repeat(live, TRIES)
+    full = np.maximum.accumulate(np.where(begin[:, 0] > 0, np.arange(len(begin)), 0))  # the room that is used of each
+    at, rows, first = full[len(begin) - 1 - lead], [lead], np.arange(len(lead)) % TRIES == 0
+    while at.any():
+        rows.append(begin[at, np.where(first, 0, rng.integers(0, DRAWS, len(at)))])
+        at = full[at - rows[-1]]
+    return -np.sort(-np.stack(rows, axis=1), axis=1)
+
+
+def cover(sizes: np.ndarray, counts: np.ndarray, room: int, goal: int, rate: float) -> tuple[Counter, float]:
+    """Configurations that cover all counts ``goal`` times, and a lower bound of what covers them once.
 
-    Each round covers the scarcest length of its configuration once more, so there are at most len(sizes) * (goal + 1) rounds.
+    A length is worth its share of a sequence, longer ones a little more, less by exp(-rate) with each time that it is covered, and nothing at the goal.
+    Each round takes the configurations that are worth most, each as often as its scarcest length allows; of no length more than is there once.
     """
-    need = counts.astype(float)
-    weight = sizes / need / sizes.sum()
-    covered, used = np.zeros(len(sizes)), {}
-    goal = np.log(len(sizes) + 1) / epsilon
-    live = np.ones(len(sizes), bool)
-    while live.any():
-        config = price(np.where(live, weight, 0.0), sizes, counts, room)
-        k, n = np.fromiter(config, int), np.fromiter(config.values(), float)
-        step = (need[k] / n).min()
-        key = tuple(sorted(config.items()))
-        used[key] = used.get(key, 0.0) + step
-        covered[k] += step * n / need[k]
-        weight[k] *= np.exp(-epsilon * step * n / need[k])
-        live = covered < goal
-    scale = covered.min() if len(covered) else 1.0
-    return [(dict(k), x / scale) for k, x in used.items()]
+    rng = np.random.default_rng(0)
+    need = np.zeros(room + 1, np.int64)
+    need[sizes] = counts
+    share = np.arange(room + 1) / room
+    base = share * (1 + share / (4 * room))  # of full configurations those of longer pieces
+    left, used, bound, slack = goal * need, Counter(), 0.0, 0.5 / room
+    while left.any():
+        live = np.flatnonzero(left)[::-1]
+        worth = np.full(room + 1, -np.inf)
+        worth[live] = base[live] * np.exp(rate * (left[live] / need[live] - goal))
+        scale = float((worth[live] / base[live]).max())
+        best, begin = price(worth, left.astype(float), slack * scale, rng)
+        # Weights by which no configuration is worth more than one are a dual solution.
+        bound = max(bound, float(need[live] @ worth[live]) / best[room])
+        rows = configurations(live, begin, rng)
+        value = np.where(rows > 0, worth[rows], 0.0).sum(axis=1)
+        good = np.flatnonzero(value >= best[room] - slack * scale)
+        # The best go first, and of these the ones that aren't draws; then longer lengths.
+        turn = good[np.lexsort((good, good % TRIES > 0, value[good] < best[room] - 0.5 / room * scale))]
+        once, before = np.minimum(left, need).tolist(), int(left.sum())
+        for row in [*rows[turn].tolist(), None]:
+            if row is None:
+                if int(left.sum()) < before:
+                    break
+                row = rows[int(value.argmax())].tolist()  # asks for more than there is: as many as there are
+                row = [n for n, m in Counter(row).items() if n for _ in range(min(m, once[n]))]
+            config = Counter(row)
+            config.pop(0, None)
+            many = min(once[n] // m for n, m in config.items())
+            if many:
+                for n, m in config.items():
+                    once[n] -= many * m
+                    left[n] -= many * m
+                used[tuple(sorted(config.items()))] += many
+        if 20 * (before - int(left.sum())) < min(before, int(need.sum())):
+            slack *= 2  # few are that good: a round takes the next best, too
+    return used, bound
+
+
+def solve(sizes: np.ndarray, counts: np.ndarray, room: int, epsilon: float = EPSILON) -> list[tuple[dict[int, int], float]]:
+    """A solution that covers all counts: (configuration, how often). It is whole where covering once takes at most one sequence more than
+    the lower bound and a share of GAP, rounded up; else counts are covered log(lengths + 1) / epsilon times, and the solution is the mean, where that is less."""
+    used, bound = cover(sizes, counts, room, 1, 0.0)
+    goal = 1
+    if sum(used.values()) > np.ceil((1 + GAP) * bound) + 1:
+        more = int(np.ceil(np.log(len(sizes) + 1) / epsilon))
+        other, _ = cover(sizes, counts, room, more, epsilon)
+        if sum(other.values()) / more < sum(used.values()):
+            used, goal = other, more
+    at = {int(n): k for k, n in enumerate(sizes)}
+    return [({at[n]: m for n, m in config}, x / goal) for config, x in used.items()]
 
 
 class Groups:
@@ -196,62 +248,31 @@ class Groups:
                 number = 0
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths, number of sequences that hold them); all pieces are placed: the program's plan, or best fit alone where that takes no more sequences."""
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths, number of sequences that hold them); all pieces are placed: the program's plan, or best fit alone where that takes fewer sequences."""
+    planned = by_program(histogram, capacity)
     alone = Groups(capacity)
     for n in sorted(histogram, reverse=True):
         alone.fit(n, histogram[n])
-    best = [(contents, number) for _, contents, number in alone.open]
-    used = sum(number for _, number in best)
-    if used == -(-sum(n * c for n, c in histogram.items()) // capacity):
-        return best  # none takes fewer
-    # Weights in proportion to lengths are a dual solution: no configuration is worth more than a full sequence. If the bound that they
-    # give for lengths as the program rounds them is no lower than best fit, its solution can't be either, and it is not solved.
-    whole = histogram.get(capacity, 0)
-    rounded = sum(-(-n // grain) * c for n, c in histogram.items() if n < capacity)
-    if whole - (-rounded // (capacity // grain)) >= used:
-        return best
-    other = by_program(histogram, capacity, grain, used)
-    return other if sum(number for _, number in other) < used else best
-
-
-def by_program(histogram: dict[int, int], capacity: int = CAPACITY, grain: int = GRAIN, fewer_than: float = float("inf")) -> list[tuple[tuple[int, ...], int]]:
-    groups, left = Groups(capacity), Counter(histogram)
+    if sum(number for *_, number in alone.open) < sum(number for _, number in planned):
+        return [(contents, number) for _, contents, number in alone.open]
+    return planned
+
+
+def by_program(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    groups, left = Groups(capacity), Counter({n: c for n, c in histogram.items() if c})
     groups.add((capacity,), left.pop(capacity, 0))
-    while True:
-        by_size: dict[int, list[int]] = {}
-        for n in sorted(left, reverse=True):
-            if left[n]:
-                by_size.setdefault(-(-n // grain), []).append(n)
-        if not by_size:
-            break
-        # Room that the least piece left doesn't fit is lost: the program ends where it can't reach fewer sequences any more.
-        least = min(n for n in left if left[n])
-        room = sum(r * number for r, _, number in groups.open if r >= least)
-        if sum(number for *_, number in groups.open) + max(0, -(-(sum(n * c for n, c in left.items()) - room) // capacity)) >= fewer_than:
-            break
-        sizes = np.array(sorted(by_size))
-        counts = np.array([sum(left[n] for n in by_size[s]) for s in sizes])
-        placed = 0
-        for config, x in sorted(solve(sizes, counts, capacity // grain), key=lambda c: (-c[1], sorted(c[0].items()))):
-            many = min([int(x + 1e-9), *(int(counts[k]) // n for k, n in config.items())])
-            if not many:
-                continue
-            placed += many
-            parts = [(many, ())]
-            for k in (k for k, n in sorted(config.items()) for _ in range(n)):
-                counts[k] -= many
-                split = []
-                for m, contents in parts:  # true lengths, the longest first
-                    while m:
-                        n = next(n for n in by_size[sizes[k]] if left[n])
-                        use = min(m, left[n])
-                        left[n] -= use
-                        split.append((use, (*contents, n)))
-                        m -= use
-                parts = split
-            for m, contents in parts:
-                groups.add(contents, m)
+    while left:
+        sizes = np.array(sorted(left))
+        least, placed = int(sizes[0]), 0
+        for config, x in sorted(solve(sizes, np.array([left[int(n)] for n in sizes]), capacity), key=lambda c: (-c[1], sorted(c[0].items()))):
+            contents = tuple(int(sizes[k]) for k, m in sorted(config.items(), reverse=True) for _ in range(m))
+            many = min([int(x + 1e-9), *(left[n] // m for n, m in Counter(contents).items())])
+            # A sequence that one more piece would go into is left to the last step.
+            if many and capacity - sum(contents) < least:
+                groups.add(contents, many)
+                placed += many
+                left -= Counter({n: many * m for n, m in Counter(contents).items()})
         if not placed:
             break
     for n in sorted(left, reverse=True):
