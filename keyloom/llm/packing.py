@@ -19,10 +19,11 @@ table gives no rows; repeated rows are packed each.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -39,10 +40,13 @@ EPSILON, GAP = 0.5, 0.01
 DRAWS, TRIES = 8, 6
 #: Numbers of a length that are joined with its runs together.
 BLOCK = 2048
-#: Words whose ids are kept by a task.
+#: Words whose ids are kept by a task: when there are so many, only those met again go on, and as many new ones.
 KNOWN = 600_000
+#: ASCII marks that the tokenizer parts from letters before them; an apostrophe may belong to letters after it.
+MARKS = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
-_known: dict[str, dict[str, bytes]] = {}
+#: By tokenizer the ids of words: those kept now, and those kept before them.
+_known: dict[str, tuple[dict[str, bytes], dict[str, bytes]]] = {}
 _tokenizers: dict = {}
 
 
@@ -61,7 +65,8 @@ def _encoded(tok, last: np.ndarray, words: list[str], each: int = 500) -> list[b
     for lo in range(0, len(words), each):
         group = words[lo : lo + each]
         if all(map(str.isalpha, group)):
-            ids = np.asarray(tok.encode(" ".join(group), add_special_tokens=False).ids, "<u4")
+            (e,) = tok.encode_batch_fast([" ".join(group)], add_special_tokens=False)  # without offsets
+            ids = np.asarray(e.ids, "<u4")
             cut = 4 * (np.flatnonzero(last[ids]) + 1)
             if len(cut) == len(group):
                 raw, cut = ids.tobytes(), [0, *cut.tolist()]
@@ -71,18 +76,42 @@ def _encoded(tok, last: np.ndarray, words: list[str], each: int = 500) -> list[b
     return out
 
 
-def _learn(tok, last: np.ndarray, known: dict[str, bytes], words: list[str]) -> None:
-    """Letters with one mark after them are letters and a mark to the tokenizer, and case doesn't count: fewer words to encode."""
-    whole = []
+def _fresh(known: dict[str, bytes], old: dict[str, bytes], words: Iterable[str]) -> list[str]:
+    """The words that are in neither; those that are in ``old`` are known from now on."""
+    out = []
     for w in words:
-        core, mark = (w[:-1], w[-1]) if w[-1:] in (".", ",", "!", "?", ";", ":") and w[:-1].isalpha() else (w, "")
-        whole.append((w, core.lower() if core.isascii() and core.isalpha() else core, mark))
-    need = list({x for _, core, mark in whole for x in (core, mark) if x not in known})
-    need.sort(key=str.isalpha)
-    split = next((i for i, w in enumerate(need) if w.isalpha()), len(need))
-    for part in (need[:split], need[split:]):
+        if w not in known:
+            if w in old:
+                known[w] = old[w]
+            else:
+                out.append(w)
+    return out
+
+
+def _learn(tok, last: np.ndarray, known: dict[str, bytes], old: dict[str, bytes], words: list[str]) -> None:
+    """Letters with marks after them are letters and marks to the tokenizer, and case doesn't count: fewer words to encode."""
+    need, parted = set(), []
+    for w in words:
+        core = w.rstrip(MARKS)
+        if not core.isalpha():
+            need.add(w)
+        elif core.isascii():
+            low = core.lower()
+            if low == w:
+                need.add(w)
+            else:
+                parted.append((w, low, w[len(core) :]))
+        # Letters that are normalised to a letter and a sign take marks after them for one with the sign.
+        elif len(core) == len(w) or not unicodedata.normalize("NFC", core).lower().isalpha():
+            need.add(w)
+        else:
+            parted.append((w, core, w[len(core) :]))
+    need.update(_fresh(known, old, {x for _, *both in parted for x in both}))
+    letters = [w for w in need if w.isalpha()]
+    for part in (letters, list(need.difference(letters))):
         known.update(zip(part, _encoded(tok, last, part)))
-    known.update((w, known[core] + known[mark] if mark else known[core]) for w, core, mark in whole)
+    for w, core, marks in parted:
+        known[w] = known[core] + known[marks] if marks else known[core]
 
 
 def token_bytes(texts: list[str], tokenizer: str) -> list[bytes]:
@@ -100,13 +129,14 @@ def token_bytes(texts: list[str], tokenizer: str) -> list[bytes]:
         last[[i for w, i in tok.get_vocab().items() if w.endswith("</w>")]] = True
         _tokenizers[tokenizer] = tok, last
     tok, last = _tokenizers[tokenizer]
-    known = _known.setdefault(tokenizer, {})
+    known, old = _known.setdefault(tokenizer, ({}, {}))
     parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-    new = list(set().union(*parts).difference(known))
+    words = set().union(*parts)
+    new = words.difference(known)
     if len(known) + len(new) > KNOWN:
-        known.clear()
-        new = list(set().union(*parts))
-    _learn(tok, last, known, new)
+        _known[tokenizer] = known, old = {}, known
+        new = words
+    _learn(tok, last, known, old, _fresh(known, old, new))
     end = np.asarray([END_ID], "<u4").tobytes()
     return [b"".join(map(known.__getitem__, p)) + end for p in parts]
 
