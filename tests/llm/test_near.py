@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from keyloom.llm import components, flat, minhash
+from keyloom.llm import common, components, flat, minhash
 
 from . import brute
 from .test_native import EDGE, frame
@@ -33,6 +33,25 @@ def test_signatures_estimate_weighted_similarity():
     assert abs((half[0] == half[1]).mean() - 0.5) < 0.04
 
 
+def test_rounds_of_components_have_small_plans(spark, monkeypatch):
+    # The driver has a thread for each shuffle of a plan at once: a star reads the edges a few times, not each of them anew for the star after it.
+    reads, write = [], components.materialize
+    monkeypatch.setattr(components, "materialize", lambda df, name: reads.append(str(df._jdf.queryExecution().analyzed()).count("Relation [")) or write(df, name))
+    components.components(spark.createDataFrame([(i, i + 1) for i in range(9)], "a long, b long"))
+    assert len(reads) > 4 and 0 < max(reads) <= 6
+
+
+def test_a_grown_heap_of_the_driver_is_given_back(spark, monkeypatch):
+    full = lambda: sum(b.getCollectionCount() for b in spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans() if "Young" not in b.getName() and "Concurrent" not in b.getName())
+    before = full()
+    monkeypatch.setattr(common, "HEAP", 2.0)
+    common.materialize(spark.range(3), "small")
+    assert full() == before
+    monkeypatch.setattr(common, "HEAP", 0.0)
+    common.materialize(spark.range(3), "grown")
+    assert full() > before
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(30)] + [(7, 7), (200, 201), (201, 200)]
     got = {x.node: x.label for x in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
